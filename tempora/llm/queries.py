@@ -17,5 +17,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held_out("doc_id"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
-ORACLES: dict[str, str] = {}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact_dedup
+
+    return exact_dedup.assign(documents(spark, sf_dir))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+FROM d
+"""
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_exact_dedup": op4_exact_dedup}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
