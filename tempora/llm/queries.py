@@ -23,6 +23,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+
+    return near_dedup.assign(documents(spark, sf_dir))
+
+
 OP4_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -30,5 +36,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM d
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
