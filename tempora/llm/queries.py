@@ -49,6 +49,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard(documents(spark, sf_dir), law="rows")
+
+
 OP10_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -78,5 +84,5 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER
 FROM al WHERE n_equal >= 0.75 * n_words AND n_equal >= least(8, n_words)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op10_line_dedup": OP10_SQL}
