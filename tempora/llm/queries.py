@@ -55,6 +55,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), law="rows")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.digest_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS low FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low < page_id THEN low END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
 OP10_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -84,5 +98,5 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER
 FROM al WHERE n_equal >= 0.75 * n_words AND n_equal >= least(8, n_words)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op10_line_dedup": op10_line_dedup}
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_warc": op7_warc, "op10_line_dedup": op10_line_dedup}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
