@@ -69,6 +69,20 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN low < page_id THEN 'r
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = documents(spark, sf_dir)
+    out = language_id.predict(docs, language_id.fit(docs))
+    return out.withColumn("held_out", held_out("doc_id"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.digest(documents(spark, sf_dir))
+
+
 OP10_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -98,5 +112,5 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER
 FROM al WHERE n_equal >= 0.75 * n_words AND n_equal >= least(8, n_words)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_warc": op7_warc, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_pieces": op9_pieces, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
