@@ -23,6 +23,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup
 
@@ -112,5 +118,5 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER
 FROM al WHERE n_equal >= 0.75 * n_words AND n_equal >= least(8, n_words)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_pieces": op9_pieces, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_pieces": op9_pieces, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
