@@ -1,0 +1,3 @@
+"""Importing the package registers every query."""
+
+from . import queries  # noqa: F401
