@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import maintenance as M
 from ..operators import predicates as P
+from ..operators import projection as PJ
 from ..operators import retrieval as R
 from ..operators import rules as U
 from ..sources import tables as T
@@ -496,3 +497,73 @@ def quote_validation(spark: SparkSession, d: str) -> DataFrame:
     c = T.read(spark, d, "conversations").withColumn("text_id", F.concat_ws("_", "conv_id", "turn"))
     q = c.select(F.col("text_id").alias("id"), "text_id", F.when(F.col("turn") % 2 == 0, F.substring("text", 5, 30)).otherwise("no such quote").alias("quote"))
     return M.quotes_found(q, c.select("text_id", "text"))
+
+
+# projection, rankings, validation ------------------------------------------------------------------------------------
+
+
+@query(f"WITH e AS ({EV}), r AS (SELECT user_id, max(ms) AS eff FROM e WHERE event_type = 'error' GROUP BY 1), k AS (SELECT e.*, event_type = 'signup' AND eff IS NOT NULL AND ms <= eff AS gone FROM e LEFT JOIN r ON e.user_id = r.user_id), n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) = 1) SELECT user_id, event_type, CASE WHEN gone THEN 'tombstone' ELSE 'current' END AS state_kind, object_value FROM n")
+def scope_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    out = PJ.rebuild(T.claims(spark, d), T.retractions(spark, d), None, 1)
+    return out.select(F.col("user_id").cast("long").alias("user_id"), F.col("predicate").alias("event_type"), "state_kind", "object_value")
+
+
+RECON = f"WITH e AS ({EV}), a AS (SELECT * FROM e WHERE event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) = 1), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) = 1)"
+
+
+@query(RECON + " SELECT 'new' AS part, count(*) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND a.object_value = b.object_value AND a.ms = b.ms) UNION ALL SELECT 'superseded', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND a.object_value = b.object_value AND a.ms = b.ms) UNION ALL SELECT 'historical', count(*) FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND b.ms > a.ms)")
+def interval_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """What a second projection writes after a first one that had four events in five."""
+    c = T.claims(spark, d)
+    stored = PJ.state_records(C.resolve_current(c.where("source_sequence_no % 5 <> 0")), 1)
+    incoming = PJ.state_records(C.resolve_current(c), 2)
+    new, superseded, historical = PJ.reconcile(stored, incoming, 2)
+    parts = [df.select(F.lit(name).alias("part")) for name, df in (("new", new), ("superseded", superseded), ("historical", historical))]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH v AS (SELECT label, min(r) AS best FROM (SELECT label, row_number() OVER (ORDER BY dist, vec_id) - 1 AS r FROM ({VEC}) ORDER BY dist, vec_id LIMIT 160) GROUP BY 1), vr AS (SELECT label, row_number() OVER (ORDER BY best, label) - 1 AS rank FROM v), l AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), lr AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS rank FROM l) SELECT label, round(sum(1.0 / (61 + rank)), 6) AS score FROM (SELECT * FROM vr UNION ALL SELECT * FROM lr) GROUP BY 1")
+def slot_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    hits = R.ranked(R.vector_top_k(T.vector_spans(spark, d), _query_vector(spark, d), R.fetch_k(20)), F.col("score"), F.col("seq"))
+    vector = PJ.rank_slots(hits.select(F.regexp_replace("source_id", "label_", "").cast("int").alias("slot_id"), "rank"), 1000)
+    n = T.read(spark, d, "embeddings").groupBy(F.col("label").alias("slot_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "slot_id").limit(1000)
+    lexical = R.ranked(n, F.desc("n"), F.col("slot_id"))
+    return PJ.fuse_slots(vector, lexical, 1000).select(F.col("slot_id").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH e AS ({EV}), a AS (SELECT DISTINCT event_type AS p, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN 'slot_a' ELSE NULL END AS s FROM e WHERE event_type IN ('signup', 'error')) SELECT 'claim_ev_' || event_id AS id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN 'slot_a' ELSE 'user ' || user_id || '|' || event_type END AS resolved_slot FROM e")
+def slot_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """signup has one alias slot, error has two and so none."""
+    c = T.claims(spark, d)
+    pairs = c.where("predicate in ('signup', 'error')").select(F.col("subject").alias("alias_subject_key"), F.col("predicate").alias("alias_predicate_key")).distinct()
+    two = pairs.where("alias_predicate_key = 'error'").withColumn("canonical_slot_id", F.lit("slot_b"))
+    aliases = pairs.withColumn("canonical_slot_id", F.lit("slot_a")).union(two)
+    return PJ.resolve_slots(c, aliases).select("id", "resolved_slot")
+
+
+@query(f"SELECT event_id AS id, user_id FROM ({EV}) WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, 'claim_ev_' || event_id DESC) = 1")
+def latest_direct_claims(spark: SparkSession, d: str) -> DataFrame:
+    out = PJ.latest_direct(T.claims(spark, d).where("predicate = 'purchase'"))
+    return out.select(F.col("source_sequence_no").alias("id"), F.col("user_id").cast("long").alias("user_id"))
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS recency FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 8")
+def recent_states(spark: SparkSession, d: str) -> DataFrame:
+    s = T.state_records(spark, d).select(F.col("o_custkey").alias("slot_id"), "observed_at_ms", F.lit("current").alias("state_kind"), F.col("o_orderkey").alias("id"))
+    return PJ.recent_states(s).select(F.col("slot_id").alias("o_custkey"), F.col("id").alias("o_orderkey"), "recency")
+
+
+@query("SELECT conv_id || '_' || turn AS id, CASE WHEN conv_id % 7 = 0 THEN 'unknown_slot' WHEN conv_id % 5 = 0 THEN 'not_supported' WHEN turn % 3 = 2 THEN 'no_evidence' WHEN NOT contains(text, CASE WHEN turn % 2 = 0 THEN substring(text, 3, 20) ELSE 'no such quote' END) THEN 'quote_mismatch' END AS reason FROM conversations")
+def answer_validation(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "conversations")
+    key = F.concat_ws("_", "conv_id", "turn")
+    answer = c.select(key.alias("id"), F.col("conv_id").alias("slot_id"), F.when(F.col("turn") % 3 != 2, key).alias("span_id"), F.when(F.col("turn") % 2 == 0, F.substring("text", 3, 20)).otherwise("no such quote").alias("quote"), F.lit("a sentence").alias("text"))
+    support = c.select(F.col("conv_id").alias("slot_id")).distinct().where("slot_id % 7 <> 0").withColumn("support", F.when(F.col("slot_id") % 5 == 0, "deleted").otherwise("supported"))
+    return PJ.validate_answer(answer, support, c.select(key.alias("span_id"), F.col("text").alias("span_text")))
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE conv_id % 2 = 0 AND regexp_matches(text, '(?i)\\b(the|and)\\b')) AS n_masked FROM conversations GROUP BY 1")
+def purge_forgotten(spark: SparkSession, d: str) -> DataFrame:
+    s = T.spans(spark, d)
+    out = PJ.purge(s, ["the", "And"], s.where("cast(source_id as long) % 2 = 0").select("source_id"))
+    return out.groupBy(F.col("source_id").cast("long").alias("conv_id")).agg(F.count_if(F.col("text").contains("[forgotten]")).alias("n_masked"))
