@@ -204,7 +204,7 @@ class Store:
 
 
 def _fields(text: str) -> list[T.StructField]:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "f": T.FloatType(), "as": T.ArrayType(T.StringType(), False), "v": T.ArrayType(T.FloatType(), False)}
+    kinds = {"s": T.StringType(), "l": T.LongType(), "f": T.FloatType(), "as": T.ArrayType(T.StringType()), "v": T.ArrayType(T.FloatType())}
     return [T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in text.split())]
 
 
