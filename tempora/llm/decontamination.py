@@ -6,8 +6,8 @@ item is laid along the document (position minus position is constant) and the wo
 whole item: the overlap tolerates substitutions anywhere. An item that overlaps in at least MIN_SHARE of its words (and
 in MIN_WORDS of them, or all words of a shorter item) contaminates the document.
 
-The benchmark's hashes are broadcast while there are at most BROADCAST_ROWS of them (a bound on the bytes that is
-checked by counting); beyond that both sides are shuffled by hash.
+The benchmark's hashes, and the ids of documents with hits, are broadcast while there are at most BROADCAST_ROWS of them (which
+is counted, so the bytes have a bound); beyond that both sides are shuffled by hash.
 
 Items of fewer than SPAN words use one seed: their whole word sequence, at every position of the document.
 
@@ -48,6 +48,11 @@ def _seeds(h: Column, mask: str, number: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _window(n: int):
+    """A hash of the n words from a position on."""
+    return lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(n)])
+
+
 def item_seeds(benchmark: DataFrame) -> DataFrame:
     """Rows (seed, item, q, ih): a hash, the item, the position in it and the item's word hashes."""
     items = _hashes(benchmark, F.col("item_id").cast("long").alias("item")).where(F.size("h") > 0).withColumn("ih", F.col("h"))
@@ -63,35 +68,37 @@ def _short_items(benchmark: DataFrame) -> DataFrame:
     return _hashes(benchmark, F.col("item_id").cast("long").alias("item")).where((F.size("h") > 0) & (F.size("h") < SPAN))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most BROADCAST_ROWS rows, which is counted; else it is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _probes(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, p, seed): every window of every document under every mask, from one pass over the texts."""
+    windows = F.size("h") - SPAN + 1
+    every = F.concat(*[_seeds(F.col("h"), m, k) for k, m in enumerate(MASKS)])
+    out = _hashes(docs, "doc_id").where(windows > 0).select("doc_id", windows.alias("n"), F.posexplode(every).alias("k", "seed"))
+    return out.select("doc_id", (F.col("k") % F.col("n")).alias("p"), "seed")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, start (word position of the item's first word in the document), n_words, n_equal."""
-    seeds = item_seeds(benchmark).select("seed", "item", "q")
-    small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bounded = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    hashed = _hashes(docs, "doc_id")
-    keys = seeds.select("seed").distinct()
-    probes = None
-    for k, m in enumerate(MASKS):
-        p = hashed.select("doc_id", F.posexplode(_seeds(F.col("h"), m, k)).alias("p", "seed"))
-        probes = p if probes is None else probes.union(p)
-    hits = probes.join(bounded(seeds), "seed").select("doc_id", "item", (F.col("p") - F.col("q")).alias("start")).distinct()
+    seeds = cut(item_seeds(benchmark).select("seed", "item", "q"), "seeds")
+    hits = _probes(docs).join(_small(seeds), "seed").select("doc_id", "item", (F.col("p") - F.col("q")).alias("start")).distinct()
     short = _short_items(benchmark)
     lengths = [r["n"] for r in short.select(F.size("h").alias("n")).distinct().collect()]  # at most SPAN - 1 lengths
     for n in sorted(lengths):
         whole = short.where(F.size("h") == n).select("item", F.xxhash64(*[F.get("h", F.lit(k)) for k in range(n)]).alias("seed"))
-        at = F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i, n=n: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(n)]))
-        probe = hashed.where(F.size("h") >= n).select("doc_id", F.posexplode(at).alias("start", "seed"))
-        few = whole.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        hits = hits.union(probe.join(F.broadcast(whole) if few else whole, "seed").select("doc_id", "item", "start").distinct())
+        at = F.transform(F.sequence(F.lit(0), F.size("h") - n), _window(n))
+        probe = _hashes(docs, "doc_id").where(F.size("h") >= n).select("doc_id", F.posexplode(at).alias("start", "seed"))
+        hits = hits.union(probe.join(_small(whole), "seed").select("doc_id", "item", "start").distinct())
     hits = cut(hits, "hits")
     items = _hashes(benchmark, F.col("item_id").cast("long").alias("item")).withColumnRenamed("h", "ih")
-    # only documents with a hit are read again for the verification; null ids match null ids
-    found = hits.select("doc_id").distinct()
-    d, f = hashed.alias("d"), found.alias("f")
-    texts = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    h, t = hits.alias("h"), texts.alias("t")
-    laid = h.join(t, F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))).select("h.doc_id", "h.item", "h.start", F.col("t.h").alias("dh")).alias("l")
-    laid = laid.join(items.alias("i"), F.col("l.item").eqNullSafe(F.col("i.item"))).select("l.doc_id", "l.item", "l.start", "l.dh", "i.ih")
+    # only documents with a hit are read again for the verification, and only they are hashed; null ids match null ids
+    found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item", "start")).alias("hits")).withColumnRenamed("doc_id", "found_id")
+    texts = docs.select("doc_id", "text").join(_small(found), F.col("doc_id").eqNullSafe(F.col("found_id"))).select("doc_id", "hits", "text")
+    laid = _hashes(texts, "doc_id", "hits").select("doc_id", F.col("h").alias("dh"), F.explode("hits").alias("x")).select("doc_id", "dh", "x.item", "x.start").alias("l")
+    laid = laid.join(_small(items).alias("i"), F.col("l.item").eqNullSafe(F.col("i.item"))).select("l.doc_id", "l.item", "l.start", "l.dh", "i.ih")
     equal = F.size(F.filter(F.sequence(F.lit(0), F.size("ih") - 1), lambda i: (F.col("start") + i >= 0) & (F.get("dh", F.greatest(F.col("start") + i, F.lit(0))) == F.get("ih", i))))
     scored = laid.select("doc_id", F.col("item").alias("item_id"), "start", F.size("ih").alias("n_words"), equal.alias("n_equal"))
     return scored.where((F.col("n_equal") >= MIN_SHARE * F.col("n_words")) & (F.col("n_equal") >= F.least(F.lit(MIN_WORDS), F.col("n_words")))).distinct()
@@ -100,5 +107,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     bad = tag("bad")
-    dirty = overlaps(docs, benchmark).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti").select(*docs.columns)
+    dirty = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias(bad)).distinct(), "dirty")
+    return docs.join(_small(dirty), F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti").select(*docs.columns)
