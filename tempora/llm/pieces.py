@@ -6,7 +6,7 @@ best path is found by Viterbi; the forward scores are exact heuristics for an A*
 end, so it expands complete segmentations in order of score.
 
 No piece of such a model crosses the beginning of a run of "▁" or a line end (this is checked on loading; otherwise the
-whole text is one chunk), nor the beginning of a run of those marks that no piece holds behind a letter. So the lattice of a text is a chain of small lattices, each distinct chunk is solved once in a
+whole text is one chunk). So the lattice of a text is a chain of small lattices, each distinct chunk is solved once in a
 batch (numpy solves all of one length together), and the N best of the chain need A* only in the N - 1 chunks where
 leaving the best path costs least.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +36,7 @@ SPACE = "▁"
 N_BEST = 4
 #: Chunks longer than this are solved one by one.
 LONG = 40
+#: Solved chunks that a Python worker remembers, at most twice this number.
 CACHE = 300_000
 BASE = np.uint64(0x100000001B3)
 PENALTY = 10.0
@@ -69,7 +69,7 @@ class Segmenter:
         self.unknown = min(self.score.values(), default=0.0) - PENALTY
         self.text = [bytes([int(p[3:5], 16)]) if v.kinds[i] == 1 else b"" if v.kinds[i] == 2 else p.encode() for i, p in enumerate(v.pieces)]
         crossing = any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in self.ids)
-        self.split = re.compile(".+" if crossing else self._pattern(), re.S).findall
+        self.split = re.compile(".+" if crossing else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", re.S).findall
         names = list(self.ids)
         h = np.array([self._hash(p) for p in names], dtype=np.uint64)
         order = np.argsort(h)
@@ -77,21 +77,9 @@ class Segmenter:
         self.sorted_ids = np.array([self.ids[p] for p in names], dtype=np.int32)[order]
         self.sorted_scores = np.array([self.score[p] for p in names])[order]
         self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
-    def _pattern(self) -> str:
-        """Chunks begin at runs of "▁", at line ends, and at marks that no piece holds behind anything but such marks."""
-        before: dict[str, set[str]] = {}
-        for p in self.ids:
-            for a, b in zip(p, p[1:]):
-                before.setdefault(b, set()).add(a)
-        marks = {c for p in self.ids for c in p if not c.isalnum() and c not in (SPACE, "\n") and not unicodedata.combining(c)}
-        while bad := {c for c in marks if before.get(c, set()) - marks}:
-            marks -= bad
-        m = "".join(map(re.escape, sorted(marks)))
-        rest = f"[^{SPACE}\n{m}]"
-        return f"\n|{SPACE}+{rest}*|{rest}+" + (f"|[{m}]+{rest}*" if m else "")
-
     @staticmethod
     def _hash(p: str) -> int:
         h = len(p)
@@ -217,10 +205,13 @@ class Segmenter:
 
     def solve(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         by_length: dict[int, list[str]] = {}
         for c in chunks - self.known.keys():
-            by_length.setdefault(len(c), []).append(c)
+            if (found := self.older.get(c)) is not None:
+                self.known[c] = found
+            else:
+                by_length.setdefault(len(c), []).append(c)
         for length, group in by_length.items():
             if length > LONG or len(group) < 3:
                 for c in group:
@@ -271,6 +262,17 @@ class Segmenter:
         return text[1:] if text[:1] == " " else text
 
 
+_SEGMENTERS: dict[Vocabulary, Segmenter] = {}
+
+
+def _segmenter(v: Vocabulary) -> Segmenter:
+    """This worker's segmenter of a vocabulary; what it has solved serves the worker's next tasks too."""
+    if v not in _SEGMENTERS:
+        _SEGMENTERS.clear()
+        _SEGMENTERS[v] = Segmenter(v)
+    return _SEGMENTERS[v]
+
+
 def _batches(texts: pd.Series, size: int = 1200) -> Iterator[list[str | None]]:
     values = texts.tolist()
     for k in range(0, len(values), size):
@@ -282,7 +284,7 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
     v = Vocabulary.load(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Segmenter(v)
+        s = _segmenter(v)
         for pdf in parts:
             at = 0
             for texts in _batches(pdf["text"]):
@@ -304,7 +306,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     v = Vocabulary.load(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Segmenter(v)
+        s = _segmenter(v)
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series([s.decode(list(x)) for x in pdf["ids"]], dtype=object)})
 
@@ -320,7 +322,7 @@ def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
     v = Vocabulary.load(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Segmenter(v)
+        s = _segmenter(v)
         for pdf in parts:
             at = 0
             for texts in _batches(pdf["text"]):
