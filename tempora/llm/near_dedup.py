@@ -7,11 +7,13 @@ are the bucket keys.
 
 1. Documents with the same word sequence are collapsed to one representative, whatever their number.
 2. In each bucket every member is paired with the bucket's smallest id (a star: as many pairs as rows, no pair within a
-   group). Pairs whose joint likelihood estimate is far below the threshold go; the rest are decided on the full sets.
-3. Links make components. A bucket whose members are in more than one component still may hide links that the star did
-   not try. Those buckets, and only those, are compared block by block on sketches, over pairs of different components;
-   what the estimate lets pass is decided on the full sets. So no pair that shares a bucket goes untried, except pairs
-   that are connected already.
+   group). The pairs whose joint likelihood estimate is not far below the threshold connect rough clusters.
+3. A bucket whose members are in more than one rough cluster may hide plausible pairs that the star did not try. Those
+   buckets, and only those, are compared block by block on sketches; a block pair gives edges of a spanning forest at most.
+   So the members of any plausible pair that shares a bucket are in one rough cluster.
+4. Each rough cluster is decided on the full sets: the intersections of all its pairs are a product of 0/1 matrices,
+   computed block by block, and a block pair gives the edges of a spanning forest of its links at most. A cluster of any
+   size is spread over as many tasks as it has block pairs, and no row per pair is ever made. Links make the components.
 
 With 32 bands of 4 registers a pair at similarity 0.75 shares no bucket with probability 6e-6, and the estimate is cut
 five standard deviations below the threshold.
@@ -43,6 +45,8 @@ PERCENT = 75
 FLOOR = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Clustered documents up to which their ids are broadcast rather than the texts shuffled.
+BROADCAST_ROWS = 500_000
 NULL_ID = -(2**63)
 
 _rng = np.random.default_rng(20240607)
@@ -136,7 +140,9 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["doc_id"], "elements": pd.Series([shingles(words(t)).view(np.int64) for t in pdf["text"]], dtype=object)})
+        for k in range(0, len(pdf), 500):
+            part = pdf.iloc[k : k + 500]
+            yield pd.DataFrame({"component": part["component"], "block": part["block"], "blocks": part["blocks"], "id": part["doc_id"], "elements": pd.Series([shingles(words(t)).view(np.int64) for t in part["text"]], dtype=object, index=part.index)})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -156,53 +162,131 @@ def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.where(_plausible("ra", "rb", "na", "nb")).select("a", "b")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are links by their full sets: a, b, common."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _ids(docs).join(wanted, "doc_id")
-    sets = cut(texts.mapInPandas(_sets, "id long, elements array<long>"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    common = F.size(F.array_intersect("ea", "eb")).cast("long")
-    out = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("ea") + F.size("eb")).alias("both"), common.alias("common"))
-    return cut(out.where(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common"))).select("a", "b").distinct(), "links")
+class _Forest:
+    """Union-find over positions; joins() tells which edges connect two trees."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs marked in a matrix, as id pairs (smaller, larger)."""
+    forest, out = _Forest(len(left) + (0 if same else len(right))), []
+    for i, j in zip(*np.nonzero(linked)):
+        if (not same or i < j) and forest.joins(int(i), int(j) if same else len(left) + int(j)):
+            out.append((min(left[i], right[j]), max(left[i], right[j])))
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, exact."""
+    if len(left) * len(right) <= 4:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
+    sizes = [len(x) for x in [*left, *right]]
+    value = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    column = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])]) if len(value) else value
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, [c, c + columns])
+        m = np.zeros((len(sizes), columns), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """A spanning forest of the links between the sets of two blocks."""
+    a, b = ([np.asarray(x, dtype=np.int64) for x in f["elements"]] for f in (left, right))
+    if not a or not b:
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    common = _common(a, b)
+    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
+    pairs = _forest(100 * common >= PERCENT * total, left["id"].to_numpy(), right["id"].to_numpy(), same)
+    return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+
+
+def _one_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _links(pdf, pdf, True)
+
+
+def _two_blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    return _links(left, right.set_axis([c.removeprefix("r_") for c in right.columns], axis=1), key[1] == key[2])
+
+
+def _pairs_of_blocks(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """df (key, block, blocks, ...) twice, so that block i of the first meets block j >= i of the second under (key, i, j)."""
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rest = [c for c in df.columns if c not in (key, "block", "blocks")]
+    left = df.withColumn("other", F.explode(F.filter(others, lambda o: o >= F.col("block")))).select(key, F.col("block").alias("i"), F.col("other").alias("j"), *rest)
+    right = df.withColumn("other", F.explode(F.filter(others, lambda o: o <= F.col("block")))).select(key, F.col("other").alias("i"), F.col("block").alias("j"), *rest)
+    return left, right.toDF(*[f"r_{c}" for c in right.columns])
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """df with blocks and block: about BLOCK rows of a key are in one block."""
+    size = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    out = df.join(size, key).withColumn("blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).drop("_size")
+    return out.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _verify(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) by full sets that connect what is connected within each cluster (id, component)."""
+    member = _dealt(clusters, "component").select(F.col("id").alias("doc_id"), "component", "block", "blocks")
+    if member.count() <= BROADCAST_ROWS:  # 24 bytes a row: the texts then stay where they are
+        member = F.broadcast(member)
+    texts = _ids(docs).join(member, "doc_id")
+    sets = cut(texts.mapInPandas(_sets, "component long, block int, blocks int, id long, elements array<long>"), "sets")
+    out = sets.where("blocks = 1").select("component", "id", "elements").groupBy("component").applyInPandas(_one_block, "a long, b long")
+    large = sets.where("blocks > 1")
+    if not large.isEmpty():
+        left, right = _pairs_of_blocks(large, "component")
+        out = out.union(left.groupBy("component", "i", "j").cogroup(right.groupBy("r_component", "r_i", "r_j")).applyInPandas(_two_blocks, "a long, b long"))
+    return cut(out, "links")
 
 
 def _blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The plausible pairs between two blocks of one bucket whose members are in different components."""
-    out = []
+    """A spanning forest of the plausible pairs between two blocks of a bucket whose rough clusters differ."""
     right = right.set_axis([c.removeprefix("r_") for c in right.columns], axis=1)
+    out: list[tuple[int, int]] = []
     if len(left) and len(right):
         a, b = (np.frombuffer(b"".join(x["regs"]), dtype=np.uint16).reshape(len(x), REGISTERS) for x in (left, right))
-        ida, idb, ca, cb, na, nb = (x[c].to_numpy() for c in ("id", "comp", "n") for x in (left, right))
-        for i in range(len(left)):
-            other = (cb != ca[i]) & ((idb > ida[i]) if key[1] == key[2] else True) & (100 * np.minimum(nb, na[i]) >= PERCENT * np.maximum(nb, na[i]))
-            if other.any():
-                j = np.flatnonzero(other)
-                j = j[(b[j] == a[i]).sum(axis=1) >= REGISTERS * FLOOR * 0.8]
-                if len(j):
-                    j = j[estimate(np.repeat(a[i : i + 1], len(j), 0), b[j], np.full(len(j), float(na[i])), nb[j].astype(float)) >= FLOOR]
-                out += [(min(ida[i], idb[k]), max(ida[i], idb[k])) for k in j]
+        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+        wanted = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= PERCENT * np.maximum(na[:, None], nb[None, :]))
+        for i in np.flatnonzero(wanted.any(axis=1)):
+            j = np.flatnonzero(wanted[i])
+            wanted[i] = False
+            j = j[(b[j] == a[i]).sum(axis=1) >= REGISTERS * FLOOR * 0.8]
+            if len(j):
+                wanted[i, j] = estimate(np.repeat(a[i : i + 1], len(j), 0), b[j], np.full(len(j), float(na[i])), nb[j].astype(float)) >= FLOOR
+        out = _forest(wanted | wanted.T if key[1] == key[2] else wanted, left["id"].to_numpy(), right["id"].to_numpy(), key[1] == key[2])
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _residual(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Plausible pairs of buckets that still hold members of more than one component."""
+    """Plausible pairs that connect the rough clusters which a bucket's members are in."""
     tagged = buckets.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    # one block holds about BLOCK members whatever the bucket's size, so a bucket of any size is spread over tasks
-    member = tagged.join(open_.where("size > 2").select("bucket", "size"), "bucket").join(reps.select(F.col("rep").alias("id"), "n", "regs"), "id")
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = member.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = member.withColumn("other", F.explode(F.filter(others, lambda o: o >= F.col("block")))).select("bucket", F.col("block").alias("i"), F.col("other").alias("j"), "id", "comp", "n", "regs")
-    right = member.withColumn("other", F.explode(F.filter(others, lambda o: o <= F.col("block")))).select("bucket", F.col("other").alias("i"), F.col("block").alias("j"), "id", "comp", "n", "regs")
-    right = right.toDF(*[f"r_{c}" for c in right.columns])
+    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("bucket")
+    member = tagged.join(mixed, "bucket", "left_semi").join(reps.select(F.col("rep").alias("id"), "n", "regs"), "id")
+    left, right = _pairs_of_blocks(_dealt(member, "bucket"), "bucket")
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("r_bucket", "r_i", "r_j")).applyInPandas(_blocks, "a long, b long").distinct()
 
 
 def assign(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept, n_links (verified links of its representative)."""
+    """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     profile = cut(_ids(docs).mapInPandas(_profile, "doc_id long, seq binary, n long, regs binary"), "profile")
     groups = profile.where("n > 0").groupBy("seq").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     reps = cut(groups, "reps")
@@ -210,18 +294,17 @@ def assign(docs: DataFrame) -> DataFrame:
     centre = bands.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(bands.join(centre, "bucket").select("bucket", "id", "low"), "buckets")
     star = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verify(cut(_screen(star, reps), "star"), docs)
-    comps = cut(components(links), "components")
+    rough = cut(_screen(star, reps), "rough")
+    comps = cut(components(rough), "clusters")
     more = cut(_residual(buckets.select("bucket", "id"), comps, reps), "residual")
     if not more.isEmpty():
-        links = links.union(_verify(more, docs)).distinct()
-        comps = cut(components(links), "components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    ranked = reps.select("seq", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+        comps = cut(components(rough.union(more)), "clusters")
+    comps = components(_verify(comps, docs))
+    ranked = reps.select("seq", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     low = F.coalesce("component", "rep", "doc_id")
     out = profile.select("doc_id", "seq", "n").join(ranked, "seq", "left")
     return out.select(
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(low, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == low).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(low, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == low).alias("kept")
     )
 
 

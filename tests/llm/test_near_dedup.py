@@ -74,7 +74,7 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
-def test_blocks_find_what_a_star_misses():
+def test_blocks_connect_what_a_star_misses():
     rng = np.random.default_rng(2)
     import pandas as pd
 
@@ -82,7 +82,30 @@ def test_blocks_find_what_a_star_misses():
     member = [np.concatenate([base[:360], rng.integers(0, 2**63, 40).astype(np.uint64)]) for _ in range(3)]
     pdf = pd.DataFrame({"id": [1, 2, 3], "comp": [1, 2, 2], "n": [400] * 3, "regs": [N.sketch(m).tobytes() for m in member]})
     got = N._blocks((0, 0, 0), pdf, pdf)
-    assert {tuple(x) for x in got.to_numpy()} == {(1, 2), (1, 3)}
+    assert len(got) == 2 and (got["a"] == 1).any()
+
+
+def test_intersections_by_matrices():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200))) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]]
+    assert (N._common(sets[:20], sets[20:], columns=64) == want).all()
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = rng.choices(vocabulary, k=60)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    out = N.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
 def test_empty(spark):
