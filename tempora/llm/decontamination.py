@@ -31,13 +31,18 @@ MIN_WORDS = 8
 BROADCAST_ROWS = 1_000_000
 
 
-def words(text: Column) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+, A-Z lower-cased."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def any_case(col: Column) -> Column:
+    """Case folded over all letters; by upper case first, so that ß meets SS. Pure ASCII texts take the fast path."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.lower(F.upper(col)))
 
 
-def _hashes(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*keep, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+def words(text: Column, fold=ascii_lower) -> Column:
+    """Words [^\\x20\\x09-\\x0D]+ of the folded text; the fold of OP5_SQL lower-cases A-Z only."""
+    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+
+def _hashes(df: DataFrame, fold, *keep: str) -> DataFrame:
+    return df.select(*keep, F.transform(words(F.col("text"), fold), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def _seeds(h: Column, mask: str, number: int) -> Column:
@@ -53,9 +58,9 @@ def _window(n: int):
     return lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(n)])
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
+def item_seeds(benchmark: DataFrame, fold=ascii_lower) -> DataFrame:
     """Rows (seed, item, q, ih): a hash, the item, the position in it and the item's word hashes."""
-    items = _hashes(benchmark, F.col("item_id").cast("long").alias("item")).where(F.size("h") > 0).withColumn("ih", F.col("h"))
+    items = _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).where(F.size("h") > 0).withColumn("ih", F.col("h"))
     long = items.where(F.size("h") >= SPAN)
     parts = [long.select("item", "ih", F.posexplode(_seeds(F.col("h"), m, k)).alias("q", "seed")) for k, m in enumerate(MASKS)]
     out = parts[0]
@@ -64,8 +69,8 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _short_items(benchmark: DataFrame) -> DataFrame:
-    return _hashes(benchmark, F.col("item_id").cast("long").alias("item")).where((F.size("h") > 0) & (F.size("h") < SPAN))
+def _short_items(benchmark: DataFrame, fold) -> DataFrame:
+    return _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).where((F.size("h") > 0) & (F.size("h") < SPAN))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -73,31 +78,31 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _probes(docs: DataFrame) -> DataFrame:
+def _probes(docs: DataFrame, fold) -> DataFrame:
     """Rows (doc_id, p, seed): every window of every document under every mask, from one pass over the texts."""
     windows = F.size("h") - SPAN + 1
     every = F.concat(*[_seeds(F.col("h"), m, k) for k, m in enumerate(MASKS)])
-    out = _hashes(docs, "doc_id").where(windows > 0).select("doc_id", windows.alias("n"), F.posexplode(every).alias("k", "seed"))
+    out = _hashes(docs, fold, "doc_id").where(windows > 0).select("doc_id", windows.alias("n"), F.posexplode(every).alias("k", "seed"))
     return out.select("doc_id", (F.col("k") % F.col("n")).alias("p"), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, fold=ascii_lower) -> DataFrame:
     """Verified overlaps: doc_id, item_id, start (word position of the item's first word in the document), n_words, n_equal."""
-    seeds = cut(item_seeds(benchmark).select("seed", "item", "q"), "seeds")
-    hits = _probes(docs).join(_small(seeds), "seed").select("doc_id", "item", (F.col("p") - F.col("q")).alias("start")).distinct()
-    short = _short_items(benchmark)
+    seeds = cut(item_seeds(benchmark, fold).select("seed", "item", "q"), "seeds")
+    hits = _probes(docs, fold).join(_small(seeds), "seed").select("doc_id", "item", (F.col("p") - F.col("q")).alias("start")).distinct()
+    short = _short_items(benchmark, fold)
     lengths = [r["n"] for r in short.select(F.size("h").alias("n")).distinct().collect()]  # at most SPAN - 1 lengths
     for n in sorted(lengths):
         whole = short.where(F.size("h") == n).select("item", F.xxhash64(*[F.get("h", F.lit(k)) for k in range(n)]).alias("seed"))
         at = F.transform(F.sequence(F.lit(0), F.size("h") - n), _window(n))
-        probe = _hashes(docs, "doc_id").where(F.size("h") >= n).select("doc_id", F.posexplode(at).alias("start", "seed"))
+        probe = _hashes(docs, fold, "doc_id").where(F.size("h") >= n).select("doc_id", F.posexplode(at).alias("start", "seed"))
         hits = hits.union(probe.join(_small(whole), "seed").select("doc_id", "item", "start").distinct())
     hits = cut(hits, "hits")
-    items = _hashes(benchmark, F.col("item_id").cast("long").alias("item")).withColumnRenamed("h", "ih")
+    items = _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).withColumnRenamed("h", "ih")
     # only documents with a hit are read again for the verification, and only they are hashed; null ids match null ids
     found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item", "start")).alias("hits")).withColumnRenamed("doc_id", "found_id")
     texts = docs.select("doc_id", "text").join(_small(found), F.col("doc_id").eqNullSafe(F.col("found_id"))).select("doc_id", "hits", "text")
-    laid = _hashes(texts, "doc_id", "hits").select("doc_id", F.col("h").alias("dh"), F.explode("hits").alias("x")).select("doc_id", "dh", "x.item", "x.start").alias("l")
+    laid = _hashes(texts, fold, "doc_id", "hits").select("doc_id", F.col("h").alias("dh"), F.explode("hits").alias("x")).select("doc_id", "dh", "x.item", "x.start").alias("l")
     laid = laid.join(_small(items).alias("i"), F.col("l.item").eqNullSafe(F.col("i.item"))).select("l.doc_id", "l.item", "l.start", "l.dh", "i.ih")
     equal = F.size(F.filter(F.sequence(F.lit(0), F.size("ih") - 1), lambda i: (F.col("start") + i >= 0) & (F.get("dh", F.greatest(F.col("start") + i, F.lit(0))) == F.get("ih", i))))
     scored = laid.select("doc_id", F.col("item").alias("item_id"), "start", F.size("ih").alias("n_words"), equal.alias("n_equal"))
@@ -105,7 +110,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item in any case of its letters, with all their columns."""
     bad = tag("bad")
-    dirty = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias(bad)).distinct(), "dirty")
+    dirty = cut(overlaps(docs, benchmark, any_case).select(F.col("doc_id").alias(bad)).distinct(), "dirty")
     return docs.join(_small(dirty), F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti").select(*docs.columns)

@@ -58,3 +58,11 @@ def test_shuffled_like_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(10, 30)))], "item_id long, text string")
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert [tuple(r)[:3] for r in D.overlaps(docs, bench).collect()] == [(1, 7, 10)]
+
+
+def test_capitals_with_accents_go_from_the_pipeline(spark):
+    item = "él añadió según está aquí más allá también después así über straße größe kürzer"
+    docs = spark.createDataFrame([(1, "x y " + item.upper() + " z"), (2, "x y " + item + " z"), (3, "nothing of it is in here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [r.doc_id for r in D.keep_clean(docs, bench).collect()] == [3]
+    assert {r.doc_id for r in D.overlaps(docs, bench).collect()} == {2}  # as OP5_SQL folds
