@@ -66,3 +66,48 @@ def test_capitals_with_accents_go_from_the_pipeline(spark):
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert [r.doc_id for r in D.keep_clean(docs, bench).collect()] == [3]
     assert {r.doc_id for r in D.overlaps(docs, bench).collect()} == {2}  # as OP5_SQL folds
+
+
+def least_substitutions(n):
+    """The fewest substitutions in an item of n words after which no window agrees under any mask."""
+    longest = max(map(len, D.MASKS))
+    least = {"": 0}
+    for _ in range(n):
+        step = {}
+        for s, e in least.items():
+            for x in "01":
+                w = s + x
+                if any(len(w) >= len(m) and all(a == "1" for a, b in zip(w[-len(m) :], m) if b == "1") for m in D.MASKS):
+                    continue
+                k = w[-longest + 1 :]
+                step[k] = min(step.get(k, n), e + (x == "0"))
+        least = step
+    return min(least.values())
+
+
+def test_every_allowed_pattern_leaves_a_hit():
+    for n in range(D.SHORT, 300):
+        allowed = max(k for k in range(n) if n - k >= D.MIN_SHARE * n and n - k >= min(D.MIN_WORDS, n))
+        assert least_substitutions(n) > allowed, n
+
+
+def replaced(rng, words, k):
+    out = list(words)
+    for i in rng.sample(range(len(out)), k):
+        out[i] = "other"
+    return out
+
+
+def test_random_substitutions_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([11, 12, 15, 16, 18, 20, 25, 40])]
+    docs = []
+    for i, t in items:
+        n = len(t.split())
+        for _ in range(12):
+            docs.append((len(docs), " ".join(rng.choices(vocabulary, k=rng.choice([0, 30])) + replaced(rng, t.split(), n // 4) + rng.choices(vocabulary, k=5))))
+    want = brute(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) >= 80
+    assert {tuple(r) for r in D.overlaps(df, bench).select("doc_id", "item_id", "start", "n_words", "n_equal").collect()} == want
