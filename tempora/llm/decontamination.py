@@ -12,7 +12,8 @@ in MIN_WORDS of them, or all words of a shorter item) contaminates the document.
 The benchmark's hashes, and the ids of documents with hits, are broadcast while there are at most BROADCAST_ROWS of them (which
 is counted, so the bytes have a bound); beyond that both sides are shuffled by hash.
 
-Items of fewer than SHORT words use one seed: their whole word sequence, at every position of the document.
+Items of fewer than SPAN words, all of which must be equal, use one seed: their whole word sequence, at every position of
+the document.
 
 Defined results: null or empty texts and items meet nothing; a null id is carried as null and treated as an id;
 repeated rows are found each; empty tables give an empty result; extra columns are ignored by the decisions and kept by
@@ -30,8 +31,6 @@ from .common import ascii_lower, cut, tag
 MASKS = ("1111", "11011")
 #: The shortest window; one that runs past the end of the text hashes the words that are there.
 SPAN = min(map(len, MASKS))
-#: Items of fewer words are sought as a whole.
-SHORT = 11
 MIN_SHARE = 0.75
 MIN_WORDS = 8
 BROADCAST_ROWS = 1_000_000
@@ -67,7 +66,7 @@ def _window(n: int):
 def item_seeds(benchmark: DataFrame, fold=ascii_lower) -> DataFrame:
     """Rows (seed, item, q, ih): a hash, the item, the position in it and the item's word hashes."""
     items = _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).where(F.size("h") > 0).withColumn("ih", F.col("h"))
-    long = items.where(F.size("h") >= SHORT)
+    long = items.where(F.size("h") >= SPAN)
     parts = [long.select("item", "ih", F.posexplode(_seeds(F.col("h"), m, k)).alias("q", "seed")) for k, m in enumerate(MASKS)]
     out = parts[0]
     for p in parts[1:]:
@@ -76,7 +75,7 @@ def item_seeds(benchmark: DataFrame, fold=ascii_lower) -> DataFrame:
 
 
 def _short_items(benchmark: DataFrame, fold) -> DataFrame:
-    return _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).where((F.size("h") > 0) & (F.size("h") < SHORT))
+    return _hashes(benchmark, fold, F.col("item_id").cast("long").alias("item")).where((F.size("h") > 0) & (F.size("h") < SPAN))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, fold=ascii_lower) -> DataFra
     seeds = cut(item_seeds(benchmark, fold).select("seed", "item", "q"), "seeds")
     hits = _probes(docs, fold).join(_small(seeds), "seed").select("doc_id", "item", (F.col("p") - F.col("q")).alias("start")).distinct()
     short = _short_items(benchmark, fold)
-    lengths = [r["n"] for r in short.select(F.size("h").alias("n")).distinct().collect()]  # at most SHORT - 1 lengths
+    lengths = [r["n"] for r in short.select(F.size("h").alias("n")).distinct().collect()]  # at most SPAN - 1 lengths
     for n in sorted(lengths):
         whole = short.where(F.size("h") == n).select("item", F.xxhash64(*[F.get("h", F.lit(k)) for k in range(n)]).alias("seed"))
         at = F.transform(F.sequence(F.lit(0), F.size("h") - n), _window(n))

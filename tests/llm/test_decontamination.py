@@ -86,7 +86,7 @@ def least_substitutions(n):
 
 
 def test_every_allowed_pattern_leaves_a_hit():
-    for n in range(D.SHORT, 300):
+    for n in range(D.SPAN, 300):
         allowed = max(k for k in range(n) if n - k >= D.MIN_SHARE * n and n - k >= min(D.MIN_WORDS, n))
         assert least_substitutions(n) > allowed, n
 
@@ -111,3 +111,20 @@ def test_random_substitutions_against_brute_force(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert len(want) >= 80
     assert {tuple(r) for r in D.overlaps(df, bench).select("doc_id", "item_id", "start", "n_words", "n_equal").collect()} == want
+
+
+def test_short_items_and_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in range(1, 13)]
+    docs = []
+    for n, t in items:
+        w = t.split()
+        for k in range(3):
+            around = rng.choices(vocabulary, k=6)
+            for text in (around + replaced(rng, w, min(k, n)) + around, replaced(rng, w, min(k, n)), w[k:] + around, around + w[: n - k]):
+                docs.append((len(docs), " ".join(text)))
+    want = brute(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert any(n == 10 and equal == 8 for _, _, _, n, equal in want)
+    assert {tuple(r) for r in D.overlaps(df, bench).select("doc_id", "item_id", "start", "n_words", "n_equal").collect()} == want
