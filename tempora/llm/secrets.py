@@ -1,7 +1,7 @@
 """Secret scans: candidate words by shape and context, false positives removed by a random forest, no Python on the rows.
 
 A candidate is a word of a text (between ASCII white space) that carries digits in a long run of token characters, or is
-the value of an assignment to a credential's name. Its features are its length, the share of changes between character
+the value of an assignment to a credential's name, of any length and with or without digits. Its features are its length, the share of changes between character
 classes, the shares of digits, capitals and distinct characters, how much of it dictionary words cover, known shapes,
 the words around it and the path of the document. A random forest of Spark ML scores the candidates; it is trained on
 labelled findings, by default those that training_findings() makes by rule: credentials of the usual formats and the
@@ -40,12 +40,20 @@ def _share(value: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """Rows doc_id, word_index, word, before2, before, after, path of every candidate in the whole texts."""
     where = F.col(path) if path and path in docs.columns else F.lit(None)
-    # every shape has a digit: a text without one is never split
-    likely = F.col("text").rlike("[0-9]")
+    # a candidate has a digit or a credential's name near it: a text with neither is never split
+    likely = F.col("text").rlike("[0-9]") | F.col("text").rlike(CREDENTIAL)
     words = F.split("text", r"[\x20\x09-\x0D]+")
     split = docs.where(likely).select("doc_id", where.cast("string").alias("path"), words.alias("w"))
-    shape = lambda w: (F.length(w) >= 8) & w.rlike(r"[0-9]") & (w.rlike(r"[A-Za-z0-9+/_-]{14,}") | w.rlike(CREDENTIAL + r"[\w-]*[\"']?[=:].{6,}"))
-    split = split.select("doc_id", "path", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: shape(F.get("w", i)))).alias("word_index"))
+    shape = lambda w: (F.length(w) >= 8) & w.rlike(r"[0-9]") & w.rlike(r"[A-Za-z0-9+/_-]{14,}")
+    nth = lambda i: F.when(i >= 0, F.get("w", F.greatest(i, F.lit(0)))).otherwise("")
+
+    def assigned(i: Column) -> Column:
+        """The word, or the words before it as features() reads them, assign to a credential's name."""
+        own = F.get("w", i).rlike(CREDENTIAL + r"[\w-]*[\"']?[=:]+[^=:]")
+        before = (nth(i - 1).rlike("[=:]$") & nth(i - 1).rlike(CREDENTIAL)) | (nth(i - 1).rlike("^[=:]+$") & nth(i - 2).rlike(CREDENTIAL))
+        return own | (before & F.get("w", i).rlike("[^=:]"))
+
+    split = split.select("doc_id", "path", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: shape(F.get("w", i)) | assigned(i))).alias("word_index"))
     at = lambda k: F.coalesce(F.get("w", F.col("word_index") + k), F.lit(""))
     back = lambda k: F.when(F.col("word_index") >= k, F.get("w", F.greatest(F.col("word_index") - k, F.lit(0)))).otherwise("")
     return split.select("doc_id", "word_index", at(0).alias("word"), back(2).alias("before2"), back(1).alias("before"), at(1).alias("after"), "path")
