@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ N_BEST = 4
 #: Chunks longer than this are solved one by one.
 LONG = 40
 #: Solved chunks that a Python worker remembers, at most twice this number.
-CACHE = 300_000
+CACHE = 100_000
 BASE = np.uint64(0x100000001B3)
 PENALTY = 10.0
 
@@ -115,19 +116,52 @@ class Segmenter:
         return np.array(out, dtype=np.int32).tobytes()
 
     def n_best(self, w: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a chunk: backward A* whose heuristic, the forward score, is exact."""
-        alpha, _ = self.forward(w)
-        tick, out = 0, []
-        heap = [(-alpha[-1], tick, len(w), 0.0, (len(w),))]
-        while heap and len(out) < n:
-            _, _, j, done, cuts = heapq.heappop(heap)
+        """The n best segmentations of a chunk: backward A* whose heuristic, the forward score, is exact.
+
+        The first is the Viterbi path, so that it is the one that encode() gives. A search state is a lattice position
+        and a link to the state it came from, never a copy of its path. No position is expanded more than n times: of
+        the paths from a position to the end only the n best can belong to the answer. Of equal scores the state nearest
+        to the beginning goes first, and a state that scores no more than n others already found is left out, so a run
+        of equal characters costs memory in proportion to its length.
+        """
+        alpha, back = self.forward(w)
+        best, j = [len(w)], len(w)
+        while j:
+            j = back[j]
+            best.append(j)
+        # by state: position, state it came from, score from there to the end
+        at, origin, done = [len(w)], [-1], [0.0]
+        heap, bar, expanded, paths = [(-alpha[-1], len(w), 0)], [], Counter(), []
+        while heap and len(paths) <= n:
+            _, j, k = heapq.heappop(heap)
             if j == 0:
-                out.append((done, self._emit(w, list(cuts))))
+                paths.append(k)
                 continue
-            for i, s in self._edges(w, j):
-                tick += 1
-                heapq.heappush(heap, (-(alpha[i] + s + done), tick, i, s + done, (i, *cuts)))
-        return out
+            if expanded[j] > n:
+                continue
+            expanded[j] += 1
+            edges = [(alpha[i] + s + done[k], i, s) for i, s in self._edges(w, j)]
+            first = max(edges)[0]
+            for f, i, s in edges:
+                if f < first:  # each of these stands for a path of its own
+                    if len(bar) > n and f <= bar[0]:
+                        continue
+                    heapq.heappush(bar, f)
+                    if len(bar) > n + 1:
+                        heapq.heappop(bar)
+                at.append(i)
+                origin.append(k)
+                done.append(s + done[k])
+                heapq.heappush(heap, (-f, i, len(at) - 1))
+        out = []
+        for k in paths:
+            cuts, x = [], k
+            while x >= 0:
+                cuts.append(at[x])
+                x = origin[x]
+            if cuts != best[::-1]:
+                out.append((done[k], self._emit(w, cuts)))
+        return [(alpha[-1], self._emit(w, best[::-1])), *out][:n]
 
     def _single(self, w: str) -> tuple[bytes, float, float]:
         alpha, back = self.forward(w)
@@ -217,7 +251,7 @@ class Segmenter:
                 for c in group:
                     self.known[c] = self._single(c)
             else:
-                step = max(64, 1_000_000 // (length * min(length, self.longest)))
+                step = max(64, 300_000 // (length * min(length, self.longest)))
                 for k in range(0, len(group), step):
                     self._together(group[k : k + step], length)
 
@@ -273,10 +307,18 @@ def _segmenter(v: Vocabulary) -> Segmenter:
     return _SEGMENTERS[v]
 
 
-def _batches(texts: pd.Series, size: int = 1200) -> Iterator[list[str | None]]:
-    values = texts.tolist()
-    for k in range(0, len(values), size):
-        yield [t if isinstance(t, str) else None for t in values[k : k + size]]
+def _batches(texts: pd.Series, chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts in runs of about so many characters, at least one text each."""
+    part: list[str | None] = []
+    held = 0
+    for t in texts:
+        part.append(t if isinstance(t, str) else None)
+        held += len(part[-1] or "") + 100
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
