@@ -12,9 +12,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    out = toxicity.score(docs, model)
-    return out.withColumn("held_out", held_out("doc_id"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), *out.columns[1:])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +79,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     out = language_id.predict(docs, language_id.fit(docs))
-    return out.withColumn("held_out", held_out("doc_id"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), *out.columns[1:])
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
