@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed: letters and numbers of any script make a word.
-NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
+WORD_CHARS = r"\p{IsAlphabetic}\p{N}"
+NOT_WORD = rf"[^{WORD_CHARS}]+"
 HIDDEN_TEXT = "[forgotten]"
 RRF_CONSTANT = 60
 SCOPE = ["space_id", "tenant_id", "user_id", "agent_id", "project_id", "thread_id"]
@@ -189,3 +190,15 @@ def support_priority(state: Column) -> Column:
 def state_text(**fields: Column) -> Column:
     """A JSON object with its keys in alphabetical order, nulls included."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def to_millis(value: object) -> int | None:
+    """milliseconds from a number, a datetime (UTC if it names no zone) or an RFC 3339 text."""
+    from datetime import datetime, timezone
+
+    if value is None or isinstance(value, int):
+        return value
+    if isinstance(value, float):
+        return int(value)
+    at = value if isinstance(value, datetime) else datetime.fromisoformat(str(value).replace("Z", "+00:00"))
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000)

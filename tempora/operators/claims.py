@@ -127,9 +127,13 @@ def history_trace(claims: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prior_value(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Every claim with the value of the latest earlier claim of its slot (an as-of join of a table with itself)."""
-    w = Window.partitionBy(*keys).orderBy(effective_start(), "source_sequence_no")
-    return claims.withColumn("prior_value", F.lag("object_value").over(w)).withColumn("prior_id", F.lag("id").over(w))
+    """Every claim with the value of the latest strictly earlier (start, sequence) claim of its slot: an as-of join of a
+    table with itself. Claims of equal start and sequence have the same prior."""
+    place = F.struct(effective_start().alias("t"), F.coalesce("source_sequence_no", F.lit(-(2**63))).alias("s"))
+    ranked = claims.withColumn("_p", F.dense_rank().over(Window.partitionBy(*keys).orderBy(place)))
+    w = Window.partitionBy(*keys).orderBy("_p").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct("_p", "id", "object_value")).over(w)
+    return ranked.withColumn("_l", last).withColumn("prior_value", F.col("_l.object_value")).withColumn("prior_id", F.col("_l.id")).drop("_p", "_l")
 
 
 def same_instant(claims: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,7 +43,8 @@ def leasable(jobs: DataFrame, now_ms: int, max_attempts: int) -> DataFrame:
 
 
 def backlog(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.min("created_at_ms").alias("oldest_ms"))
+    """The open jobs: pending, leased and failed ones."""
+    return jobs.where(F.col("status").isin("pending", "leased", "failed")).agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.min("created_at_ms").alias("oldest_ms"))
 
 
 def pack_prefix(items: DataFrame, budget: int, keys: list[str], order: list, text: str = "text") -> DataFrame:

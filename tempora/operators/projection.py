@@ -19,7 +19,10 @@ MEANING = ["slot_id", "slot_facet", "state_kind", "subject", "predicate", "objec
 def state_records(claims: DataFrame, projected_at_ms: int) -> DataFrame:
     """Scalar claims as state records: kind by status, polarity and asserter; keyed by slot and kind."""
     kind = state_kind(F.col("status"), F.col("polarity"), F.col("asserted_by"), F.col("claim_kind"))
-    out = claims.where(~F.col("claim_kind").isin(*SET_KINDS)).withColumn("state_kind", kind)
+    out = claims.where(~F.col("claim_kind").isin(*SET_KINDS)).withColumn("state_kind", kind).withColumn("claim_ids", F.array("id"))
+    for refs, name in (("source_span_ids", "source_spans"), ("source_episode_ids", "source_episodes")):
+        if refs in out.columns:
+            out = out.withColumn(name, F.col(refs))
     key = F.when(F.col("state_kind") == "tombstone", F.concat_ws("|", F.lit("tombstone"), "id")).otherwise(F.concat_ws("|", "slot_id", "state_kind", "slot_facet"))
     return out.withColumn("state_key", key).withColumn("valid_from_ms", effective_start()).withColumn("projected_at_ms", F.lit(projected_at_ms)).withColumn("recorded_at_ms", F.lit(projected_at_ms)).withColumn("superseded_at_ms", F.lit(None).cast("long"))
 
@@ -87,18 +90,6 @@ def resolve_slots(claims: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("resolved_slot", F.when(F.coalesce("ambiguous", F.lit(False)), F.lit(None)).otherwise(F.coalesce("alias_slot", "slot_id")))
 
 
-def latest_direct(claims: DataFrame) -> DataFrame:
-    """The latest asserted, active, affirmative claim of each slot: what an on-change rule compares with."""
-    direct = claims.where((F.col("status") == "active") & (F.col("polarity") == "affirmative") & (F.col("asserted_by") != "extractor_derived"))
-    w = Window.partitionBy("slot_id").orderBy(effective_start().desc(), F.desc("id"))
-    return direct.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def recent_states(states: DataFrame, n: int = 8) -> DataFrame:
-    w = Window.partitionBy("slot_id").orderBy(F.desc("observed_at_ms"), "state_kind", "id")
-    return states.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
-
-
 def validate_answer(answer: DataFrame, support: DataFrame, spans: DataFrame) -> DataFrame:
     """Each claimed sentence with its first failing reason, null when it may stand.
 

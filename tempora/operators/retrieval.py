@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance, lexical_terms, neighbor_score, rrf_share
+from ..functions.scalars import WORD_CHARS, cosine_distance, lexical_terms, neighbor_score, rrf_share
 from .claims import EXCLUDES, IGNORED
 from .predicates import correction_active, span_active
 
@@ -21,10 +22,10 @@ def fetch_k(k: int) -> int:
     return min(OVERFETCH * k, MAX_FETCH)
 
 
-def vector_top_k(spans: DataFrame, query: list[float], k: int, *, id_col: str = "id", vector: str = "embedding", tie: str = "seq") -> DataFrame:
+def vector_top_k(spans: DataFrame, query: list[float], k: int, *, id_col: str = "id", vector: str = "embedding", tie: str | list[str] = "seq") -> DataFrame:
     """Exact cosine top-k: score is the distance, ties by storage order. TakeOrderedAndProject keeps k rows a task."""
     vec = F.array(*[F.lit(float(x)) for x in query])
-    return spans.where(F.col(vector).isNotNull() & (F.size(vector) == len(query))).withColumn("score", cosine_distance(F.col(vector), vec)).orderBy("score", tie).limit(k)
+    return spans.where(F.col(vector).isNotNull() & (F.size(vector) == len(query))).withColumn("score", cosine_distance(F.col(vector), vec)).orderBy("score", *([tie] if isinstance(tie, str) else tie)).limit(k)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -40,19 +41,25 @@ def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def term_stats(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Document frequency and total count of each term."""
-    t = docs.select(id_col, F.explode(lexical_terms(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Document frequency and total count of each term, in one aggregation: a text gives its words and, after them, its
+    different words once more."""
+    t = docs.select(lexical_terms(text).alias("_t"))
+    t = t.select(F.size("_t").alias("_n"), F.posexplode(F.concat("_t", F.array_distinct("_t"))).alias("_p", "term"))
+    return t.groupBy("term").agg(F.count_if(F.col("_p") >= F.col("_n")).alias("df"), F.count_if(F.col("_p") < F.col("_n")).alias("cf"))
 
 
 def query_postings(docs: DataFrame, terms: list[str], id_col: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """(id, dl, tf_0..tf_n) of every document: only the query's terms are counted, in one narrow pass."""
-    d = docs.select(id_col, *(keep or []), lexical_terms(text).alias("_t"))
-    def count(word: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == word))
+    """(id, dl, tf_0..tf_n) of every document: only the query's terms are counted, in one narrow pass.
 
-    tf = [count(w).alias(f"tf_{i}") for i, w in enumerate(terms)]
-    return d.select(id_col, *(keep or []), F.size("_t").alias("dl"), *tf)
+    The counts come out of a generator, so a filter on them is not pushed below and does not count the words again.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    edge = "[" + WORD_CHARS + "]"
+    dl = F.regexp_count(low, F.lit(f"{edge}+"))
+    # most texts lack a rare word: a plain search comes before the pattern
+    count = lambda w: F.when(low.contains(w), F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(w)}(?!{edge})"))).otherwise(0)
+    one = F.struct(dl.alias("dl"), *[count(w).alias(f"tf_{i}") for i, w in enumerate(terms)])
+    return docs.select(id_col, *(keep or []), F.inline(F.array(one)))
 
 
 def _bm25(tf: Column, df: Column, dl: Column, n: Column, avg: Column) -> Column:
@@ -66,8 +73,6 @@ def bm25(docs: DataFrame, query: str, k: int | None, *, id_col: str = "id", text
     corpus `all`: documents with a term; `matched`: documents that hold a query term; `sources`: all, where terms in more
     than max(1, max_df_ratio * N) documents are skipped and the average length is one at least.
     """
-    import re
-
     terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     counts = query_postings(docs, terms, id_col, text)
     tfs = [F.col(f"tf_{i}") for i in range(len(terms))]

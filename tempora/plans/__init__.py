@@ -1,3 +1,3 @@
 """Importing the package registers every query."""
 
-from . import queries  # noqa: F401
+from . import queries, scan_queries, answer_queries  # noqa: F401

@@ -15,8 +15,10 @@ from ..operators import predicates as P
 from ..operators import projection as PJ
 from ..operators import retrieval as R
 from ..operators import rules as U
+from ..operators import scans as SC
 from ..sources import tables as T
-from .registry import query
+from ..sources.storage import OP, Store
+from .registry import query, shared
 
 EV = "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS object_value FROM events"
 AT = 1_704_500_000_000
@@ -115,10 +117,12 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return C.interval_overlap(a, b, ["k"]).select(F.col("a.k").alias("l_orderkey"), "l_linenumber", "from_ms", "to_ms")
 
 
-@query(f"SELECT event_type, min(CASE WHEN object_value LIKE '-%' THEN 'unsupported' ELSE 'supported' END) AS low, count(*) AS n FROM ({EV}) GROUP BY 1")
+@query(f"SELECT event_type, min(CASE WHEN event_type = 'error' THEN 'tombstone' WHEN object_value LIKE '-%' THEN 'unsupported' ELSE 'current' END) AS low, max(CASE WHEN event_type = 'error' THEN 'tombstone' WHEN object_value LIKE '-%' THEN 'unsupported' ELSE 'current' END) AS high, count(*) AS n FROM ({EV}) GROUP BY 1")
 def claim_kinds(spark: SparkSession, d: str) -> DataFrame:
-    c = T.claims(spark, d).withColumn("k", F.when(F.col("object_value").startswith("-"), "unsupported").otherwise("supported"))
-    return c.groupBy(F.col("predicate").alias("event_type")).agg(F.min("k").alias("low"), F.count(F.lit(1)).alias("n"))
+    """The kind of state that claims stand for: errors are retracted, negative values deny."""
+    c = T.claims(spark, d).withColumn("polarity", F.when(F.col("object_value").startswith("-"), "negative").otherwise("affirmative")).withColumn("status", F.when(F.col("predicate") == "error", "retracted").otherwise("active"))
+    k = c.withColumn("k", S.state_kind(F.col("status"), F.col("polarity"), F.col("asserted_by"), F.col("claim_kind")))
+    return k.groupBy(F.col("predicate").alias("event_type")).agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'deleted' WHEN 'P' THEN 'unsupported' ELSE 'supported' END AS s FROM orders) SELECT o_custkey, CASE min(CASE s WHEN 'deleted' THEN 0 WHEN 'unsupported' THEN 1 ELSE 2 END) WHEN 0 THEN 'deleted' WHEN 1 THEN 'unsupported' ELSE 'supported' END AS support, count(*) AS n_states FROM s GROUP BY 1")
@@ -141,14 +145,20 @@ def same_instant_predecessors(spark: SparkSession, d: str) -> DataFrame:
 # corrections of spans ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'doc_' || doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query(
+    """WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), s AS (SELECT DISTINCT doc_id FROM documents, benchmark WHERE item_id % 10 = 0 AND contains(lower(documents.text), lower(trim(left(benchmark.text, 40)))))
+SELECT 'doc_' || doc_id AS id FROM documents WHERE (doc_id IN (SELECT doc_id FROM t) AND doc_id % 3 = 0) OR (doc_id NOT IN (SELECT doc_id FROM t) AND doc_id NOT IN (SELECT doc_id FROM s))"""
+)
 def span_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that no correction excludes: named ones are deleted at 0, selected ones forgotten at 5, some restored at 10."""
     hits = T.read(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("id"), "text")
-    lab = T.read(spark, d, "labels").where("toxic = 1")
-    cor = lab.select(F.concat(F.lit("corr_"), "doc_id").alias("id"), F.lit("active").alias("status"), F.lit("span").alias("target_type"), F.lit("tombstone").alias("operation"), F.lit(0).cast("long").alias("effective_at_ms"), F.array(F.concat(F.lit("doc_"), "doc_id")).alias("target_ids"), F.lit(None).cast("string").alias("target_selector"))
-    named = cor.withColumn("target", F.explode("target_ids"))
-    last = named.groupBy("target").agg(F.max_by("operation", F.struct("effective_at_ms", "id")).alias("operation")).where(F.col("operation").isin(*C.EXCLUDES))
-    return hits.select("id").join(last, hits["id"] == last["target"], "left_anti")
+    toxic = T.read(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    none, ids = F.lit(None).cast("string"), F.array(F.concat(F.lit("doc_"), "doc_id"))
+    row = lambda df, key, op, at, targets, selector: df.select(F.concat(F.lit(f"{op}_"), key).alias("id"), F.lit("active").alias("status"), F.lit("span").alias("target_type"), F.lit(op).alias("operation"), F.lit(at).cast("long").alias("effective_at_ms"), targets.alias("target_ids"), selector.alias("target_selector"))
+    named = row(toxic, "doc_id", "tombstone", 0, ids, none)
+    back = row(toxic.where("doc_id % 3 = 0"), "doc_id", "restore", 10, ids, none)
+    chosen = row(T.read(spark, d, "benchmark").where("item_id % 10 = 0"), "item_id", "forget", 5, F.array().cast("array<string>"), F.substring("text", 1, 40))
+    return R.span_exclusions(hits, named.union(back).union(chosen)).select("id")
 
 
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark, documents WHERE contains(lower(documents.text), lower(trim(left(benchmark.text, 40)))) GROUP BY 1")
@@ -422,28 +432,50 @@ def filter_array_length(spark: SparkSession, d: str) -> DataFrame:
 # storage semantics ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def _store(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
+    """A fresh store of one table, and the orders as its rows: the customer is the key, the order number the order."""
+    o = T.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return Store.create(spark, shared(spark, "store"), "orders", {"orders": o.schema}), o
+
+
+@query("SELECT o_custkey AS o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 2 = 0) = 0")
 def insert_only(spark: SparkSession, d: str) -> DataFrame:
-    """First write of a key wins."""
-    return C.newest(T.read(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")])
+    """First write of a key wins, in a call and between calls."""
+    store, o = _store(spark, d)
+    store.insert("orders", o.where("o_orderkey % 2 = 0"), "o_orderkey")
+    store.insert("orders", o, "o_orderkey")
+    return store.table("orders").select(F.col("id").cast("long").alias("o_custkey"), "o_orderkey")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Last write of a key wins: max_by combines before the shuffle, a window would not."""
-    return T.read(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.max_by("o_orderstatus", "o_orderkey").alias("o_orderstatus"))
+    """Last write of a key wins, in a call and between calls, over a compacted table."""
+    store, o = _store(spark, d)
+    middle = o.agg(F.percentile_approx("o_orderkey", 0.5)).first()[0]
+    store.upsert("orders", o.where(F.col("o_orderkey") <= middle), "o_orderkey")
+    store.compact("orders")
+    store.upsert("orders", o.where(F.col("o_orderkey") > middle), "o_orderkey")
+    return store.table("orders").select(F.col("id").cast("long").alias("o_custkey"), "o_orderkey", "o_orderstatus")
+
+
+LATEST = "SELECT o_custkey, max(o_orderkey) AS k, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1"
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 200000)")
+@query(f"SELECT k AS o_orderkey FROM ({LATEST}) WHERE NOT (s = 'F' AND p < 200000)")
 def delete_by_filter(spark: SparkSession, d: str) -> DataFrame:
-    o = T.read(spark, d, "orders")
-    gone = FD.compile_filter(FD.parse("o_orderstatus = 'F' AND o_totalprice < 200000"), o.schema)
-    return o.where(~F.coalesce(gone, F.lit(False))).select("o_orderkey")
+    store, o = _store(spark, d)
+    store.upsert("orders", o, "o_orderkey")
+    store.delete("orders", "o_orderstatus = 'F' AND o_totalprice < 200000")
+    return store.table("orders").select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100")
+@query(f"SELECT k AS o_orderkey FROM ({LATEST}) WHERE s = 'O' ORDER BY CAST(o_custkey AS VARCHAR) LIMIT 100")
 def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
-    return FD.where(T.read(spark, d, "orders"), "o_orderstatus = 'O'").orderBy("o_orderkey").limit(100).select("o_orderkey")
+    """A filtered scan in storage order, cut after the filter."""
+    store, o = _store(spark, d)
+    latest = C.newest(o, ["id"], [F.desc("o_orderkey")]).orderBy("id").coalesce(1)
+    store.commit({"orders": latest.withColumn(OP, F.lit("put"))})
+    return store.scan("orders", "o_orderstatus = 'O'", 100).select("o_orderkey")
 
 
 # jobs, erasure, packing, validation ----------------------------------------------------------------------------------
@@ -461,17 +493,10 @@ def job_lease_order(spark: SparkSession, d: str) -> DataFrame:
     return M.leasable(_jobs(spark, d), 3000, 5).select("id")
 
 
-@query(f"SELECT count(*) AS n_jobs, count(*) FILTER (WHERE status = 'failed') AS n_failed, min(created) AS oldest_ms FROM ({JOBS})")
+@query(f"SELECT count(*) AS n_jobs, count(*) FILTER (WHERE status = 'failed') AS n_failed, min(created) AS oldest_ms FROM ({JOBS}) WHERE turn <> 1")
 def job_backlog(spark: SparkSession, d: str) -> DataFrame:
-    return M.backlog(_jobs(spark, d))
-
-
-@query("WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3) SELECT 'orders' AS tbl, count(*) AS n FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)")
-def erase_cascade(spark: SparkSession, d: str) -> DataFrame:
-    o = T.read(spark, d, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("id"))
-    li = T.read(spark, d, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.array("l_orderkey").alias("refs"))
-    hit = M.citing(li, o, "refs")
-    return o.select(F.lit("orders").alias("tbl")).union(hit.select(F.lit("lineitem"))).groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
+    """Open jobs only: the second turn's is skipped."""
+    return M.backlog(_jobs(spark, d).withColumn("status", F.when(F.col("sequence_no") == 1, "skipped").otherwise(F.col("status"))))
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS refs FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1")
@@ -487,9 +512,14 @@ def pack_prefix(spark: SparkSession, d: str) -> DataFrame:
     return M.pack_prefix(T.read(spark, d, "conversations"), 200, ["conv_id"], [F.col("turn")]).select("conv_id", "turn", "running")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), CAST(ceil(length(text) / 4.0) AS BIGINT), 1) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+p AS (SELECT conv_id, turn, n, r, CASE WHEN n <= 200 THEN n ELSE 0 END AS used, n <= 200 AS kept FROM t WHERE r = 1
+UNION ALL SELECT t.conv_id, t.turn, t.n, t.r, p.used + CASE WHEN p.used + t.n <= 200 THEN t.n ELSE 0 END, p.used + t.n <= 200 FROM p JOIN t ON t.conv_id = p.conv_id AND t.r = p.r + 1)
+SELECT conv_id, turn FROM p WHERE kept UNION ALL SELECT conv_id, min(turn) FROM p GROUP BY conv_id HAVING NOT bool_or(kept)"""
+)
 def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return M.pack_greedy(T.read(spark, d, "conversations").select("conv_id", "turn", "text"), 200, "conv_id", "turn").select("conv_id", "turn", "tokens")
+    return M.pack_greedy(T.read(spark, d, "conversations").select("conv_id", "turn", "text"), 200, "conv_id", "turn").select("conv_id", "turn")
 
 
 @query("WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substring(text, 5, 30) ELSE 'no such quote' END AS quote FROM conversations) SELECT conv_id || '_' || turn AS id, contains(c.text, quote) AS found FROM q JOIN conversations c USING (conv_id, turn)")
@@ -508,20 +538,6 @@ def scope_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("user_id").cast("long").alias("user_id"), F.col("predicate").alias("event_type"), "state_kind", "object_value")
 
 
-RECON = f"WITH e AS ({EV}), a AS (SELECT * FROM e WHERE event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) = 1), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) = 1)"
-
-
-@query(RECON + " SELECT 'new' AS part, count(*) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND a.object_value = b.object_value AND a.ms = b.ms) UNION ALL SELECT 'superseded', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND a.object_value = b.object_value AND a.ms = b.ms) UNION ALL SELECT 'historical', count(*) FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND b.ms > a.ms)")
-def interval_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    """What a second projection writes after a first one that had four events in five."""
-    c = T.claims(spark, d)
-    stored = PJ.state_records(C.resolve_current(c.where("source_sequence_no % 5 <> 0")), 1)
-    incoming = PJ.state_records(C.resolve_current(c), 2)
-    new, superseded, historical = PJ.reconcile(stored, incoming, 2)
-    parts = [df.select(F.lit(name).alias("part")) for name, df in (("new", new), ("superseded", superseded), ("historical", historical))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH v AS (SELECT label, min(r) AS best FROM (SELECT label, row_number() OVER (ORDER BY dist, vec_id) - 1 AS r FROM ({VEC}) ORDER BY dist, vec_id LIMIT 160) GROUP BY 1), vr AS (SELECT label, row_number() OVER (ORDER BY best, label) - 1 AS rank FROM v), l AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), lr AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS rank FROM l) SELECT label, round(sum(1.0 / (61 + rank)), 6) AS score FROM (SELECT * FROM vr UNION ALL SELECT * FROM lr) GROUP BY 1")
 def slot_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     hits = R.ranked(R.vector_top_k(T.vector_spans(spark, d), _query_vector(spark, d), R.fetch_k(20)), F.col("score"), F.col("seq"))
@@ -543,16 +559,10 @@ def slot_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id AS id, user_id FROM ({EV}) WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, 'claim_ev_' || event_id DESC) = 1")
 def latest_direct_claims(spark: SparkSession, d: str) -> DataFrame:
-    out = PJ.latest_direct(T.claims(spark, d).where("predicate = 'purchase'"))
+    out = SC.latest_comparable(T.claims(spark, d).where("predicate = 'purchase'"))
     return out.select(F.col("source_sequence_no").alias("id"), F.col("user_id").cast("long").alias("user_id"))
 
 
-@query("SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS recency FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 8")
-def recent_states(spark: SparkSession, d: str) -> DataFrame:
-    s = T.state_records(spark, d).select(F.col("o_custkey").alias("slot_id"), "observed_at_ms", F.lit("current").alias("state_kind"), F.col("o_orderkey").alias("id"))
-    return PJ.recent_states(s).select(F.col("slot_id").alias("o_custkey"), F.col("id").alias("o_orderkey"), "recency")
-
-
 @query("SELECT conv_id || '_' || turn AS id, CASE WHEN conv_id % 7 = 0 THEN 'unknown_slot' WHEN conv_id % 5 = 0 THEN 'not_supported' WHEN turn % 3 = 2 THEN 'no_evidence' WHEN NOT contains(text, CASE WHEN turn % 2 = 0 THEN substring(text, 3, 20) ELSE 'no such quote' END) THEN 'quote_mismatch' END AS reason FROM conversations")
 def answer_validation(spark: SparkSession, d: str) -> DataFrame:
     c = T.read(spark, d, "conversations")
@@ -562,8 +572,12 @@ def answer_validation(spark: SparkSession, d: str) -> DataFrame:
     return PJ.validate_answer(answer, support, c.select(key.alias("span_id"), F.col("text").alias("span_text")))
 
 
-@query("SELECT conv_id, count(*) FILTER (WHERE conv_id % 2 = 0 AND regexp_matches(text, '(?i)\\b(the|and)\\b')) AS n_masked FROM conversations GROUP BY 1")
+WORD_AT = r"(?i)(^|[^\p{L}\p{N}])(the|and)([^\p{L}\p{N}]|$)"
+
+
+@query(f"SELECT conv_id || '_' || turn AS id, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(regexp_replace(text, '{WORD_AT}', '\\1[forgotten]\\3', 'g'), '{WORD_AT}', '\\1[forgotten]\\3', 'g') ELSE text END AS text FROM conversations")
 def purge_forgotten(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with the forgotten values hidden, in the affected sources only."""
     s = T.spans(spark, d)
     out = PJ.purge(s, ["the", "And"], s.where("cast(source_id as long) % 2 = 0").select("source_id"))
-    return out.groupBy(F.col("source_id").cast("long").alias("conv_id")).agg(F.count_if(F.col("text").contains("[forgotten]")).alias("n_masked"))
+    return out.select(F.regexp_replace("id", "span_", "").alias("id"), "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +22,13 @@ def query(oracle: str | None = None):
         return f
 
     return add
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: under the checkpoint directory, or local for a local session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tempora-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
