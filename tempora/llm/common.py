@@ -15,14 +15,14 @@ FOLDS = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where the session names none."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: the session's checkpoint directory. Where it is unset, a local session
+    gets a folder of its own; a cluster does not, as a folder of the driver alone would not be shared."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempora-"))
         where = spark.sparkContext.getCheckpointDir()
-        if not where:
-            where = tempfile.mkdtemp(prefix="tempora-")
-            spark.sparkContext.setCheckpointDir(where)
-            where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -34,6 +34,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be called hot: those of more than a ten-thousandth of all rows, so there are at most so many.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, where column `size` says how many rows a key has.
+
+    The rows of hot keys meet their key by broadcast, of at most HOT_KEYS rows, and stay where they are; the others are
+    shuffled. So no key brings its rows into one task, and none is left out.
+    """
+    hot = F.col(size) > total / HOT_KEYS
+    top = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    out = rows.join(top, keys)
+    return out.union(rest.select(out.columns))
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches that Python workers hold: long texts would make batches of the default row count large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task: a Python worker stays for the stages to come."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for documents whose crc32(doc_id as text) is a multiple of FOLDS; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

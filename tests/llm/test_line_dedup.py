@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tempora.llm import common
 from tempora.llm import line_dedup as L
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -25,8 +26,9 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 7])
-def test_against_brute_force(spark, batches):
+@pytest.mark.parametrize("batches, hot", [(1, 10_000), (7, 10_000), (6, 3)])
+def test_against_brute_force(spark, monkeypatch, batches, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
     rng = random.Random(batches)
     pool = [f"shared line number {i}" for i in range(25)] + ["short", "É" * 10, "é" * 10, "  Padded LINE here \t", "padded line here", "a" * 9, "a" * 10, ""]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(40)]
@@ -37,11 +39,15 @@ def test_against_brute_force(spark, batches):
 
 
 def test_levels_stay_few_and_disjoint(spark):
-    runs = L.Runs()
+    runs = L.Runs(spark)
     for k in range(9):
         runs.add(spark.range(k * 10, k * 10 + 10).selectExpr("id as h1", "-id as h2"))
     assert [len(x) for x in runs.levels] == [1, 2]
-    assert sorted(r.h1 for r in runs.all().collect()) == list(range(90))
+    assert sorted(r.h1 for run in runs.all() for r in run.collect()) == list(range(90))
+    plan = runs.all()[0].join(runs.all()[1], L.HASH, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan or "Broadcast" in plan
+    runs.drop()
+    assert not [t for t in runs.names if spark.catalog.tableExists(t)]
 
 
 def test_null_ids_and_empty(spark):
