@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fuse
-from .common import ascii_lower, cut, tag
+from .common import ascii_lower, cut, join_hot, tag
 
 KEY = ["sha", "md", "n_bytes"]
 #: Digests in a bucket, on average: the most that one filter or one screening task holds.
@@ -75,7 +75,9 @@ def group_batch(rows: DataFrame) -> DataFrame:
 
 def merge(docs: DataFrame, snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """The snapshot after the batch's groups: screened, byte-checked, joined; neither is changed."""
-    buckets = max(1, -(-snapshot.count() // BUCKET_ROWS))
+    # a bucket's filter and the batch's part of it are held by one task: the larger side decides
+    batch = cut(batch, "batch")
+    buckets = max(1, -(-max(snapshot.count(), batch.count()) // BUCKET_ROWS))
     filters = cut(build_filters(snapshot, buckets), "fuse")
     screened = cut(screen(batch, filters, buckets), "screened")
     old = snapshot.select(*KEY, F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"))
@@ -109,7 +111,7 @@ def group(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
 def assign(docs: DataFrame, batches: int = 2) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     rows, groups = group(docs, batches)
-    out = rows.join(groups, KEY).select(
+    out = join_hot(rows, groups, KEY, "group_size", rows.count()).select(
         F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.nullif("keep_id", F.lit(NULL_ID)).alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return out
