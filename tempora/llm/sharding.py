@@ -10,11 +10,13 @@ each arc, ranges of ranks and the shard they go to; keys are ranked within their
 slot is the start of its range in the shard plus its rank in the range. So no task ever holds a shard, and equal texts
 need not meet: a key's place follows from its id.
 
-Laws: `rows` gives each shard an exact quota, counts at most one apart. `bytes` bounds each shard's bytes by
-(1 + slack) times the mean, at arc resolution. `key` has no bound: id and shard count alone decide, and one more
+Laws: `rows` gives each shard an exact quota, counts at most one apart. `bytes` keeps each shard's bytes
+within (1 + slack) times the mean; an arc for which no shard has that much room goes to the emptiest one, so a shard can
+pass the bound by less than one arc. `key` has no bound: id and shard count alone decide, and one more
 shard takes keys only into itself.
 
-Defined results: a null doc_id hashes as the empty text; repeated rows each take a place, ranked in any order among
+Defined results: a null doc_id hashes as the text's checksum, so that rows without ids are spread (under law `key`, where
+the id alone decides, as the empty text); repeated rows each take a place, ranked in any order among
 themselves; a null text has size 8 and crc32 0; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -55,8 +57,9 @@ class Ring:
                 yield s
 
 
-def arc_of(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(17)), F.lit(ARCS)).cast("int")
+def arc_of(doc_id: Column, without: Column | None = None) -> Column:
+    """The arc of an id; `without` stands for a null one."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("") if without is None else without), F.lit(17)), F.lit(ARCS)).cast("int")
 
 
 def ranges(counts: dict[int, int], ring: Ring, capacity: dict[int, int] | None) -> list[tuple[int, int, int, int, int]]:
@@ -76,7 +79,8 @@ def ranges(counts: dict[int, int], ring: Ring, capacity: dict[int, int] | None)
                     left[s] -= take
             if rank == n:
                 break
-        assert rank == n, "the capacities do not hold all keys"
+        if rank != n:
+            raise ValueError("the capacities do not hold all keys")
     return out
 
 
@@ -101,7 +105,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "rows", vnodes: int
     """A row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard (law `key`: with one more shard)."""
     spark, ring = docs.sparkSession, Ring.of(shards, vnodes)
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), arc_of(F.col("doc_id")).alias("arc"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), arc_of(F.col("doc_id"), None if law == "key" else F.concat(F.lit("null/"), F.crc32(raw).cast("string"))).alias("arc"))
     # the counting pass reads ids only, unless bytes are balanced
     stats = {r["arc"]: (r["n"], r["b"]) for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n"), F.sum("size" if law == "bytes" else F.lit(0)).alias("b")).collect()}
     counts = {a: n for a, (n, _) in stats.items()}
@@ -114,7 +118,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "rows", vnodes: int
     else:
         raise ValueError(f"unknown law {law}")
     # every range ends an arc or fills a shard: at most ARCS + shards rows, whatever the input
-    assert len(plan) <= ARCS + shards
+    if len(plan) > ARCS + shards:
+        raise RuntimeError(f"{len(plan)} ranges")
     grown = Ring.of(shards + 1, vnodes)
     table = pd.DataFrame(plan, columns=["arc", "first", "end", "shard", "base"])
     table["grown_shard"] = [next(grown.walk(a)) if law == "key" else None for a in table["arc"]]

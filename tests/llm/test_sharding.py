@@ -46,5 +46,40 @@ def test_bounded_loads_move_little(docs):
     assert sum(a[d] != s for d, s in b.items()) < 0.3 * len(b)
 
 
+def test_against_a_plain_walk(docs):
+    """Every key by itself: clockwise from its arc to the first shard with room, keys of an arc in the order of their rank."""
+    rows = [(r.doc_id, r.arc) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", S.arc_of(docs["doc_id"]).alias("arc")).collect()]
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    ring, room = S.Ring.of(7), S.quotas(len(rows), 7)
+    got = {r.doc_id: (r.shard, r.slot) for r in S.shard(plain, 7, "rows").collect()}
+    by_arc = defaultdict(list)
+    for d, a in rows:
+        by_arc[a].append(d)
+    want = Counter()
+    points = sorted(zip(ring.points, ring.owners))
+    for arc in sorted(by_arc):
+        start = next((k for k, (p, _) in enumerate(points) if p >= arc), 0)
+        order = [points[(start + k) % len(points)][1] for k in range(len(points))]
+        for _ in by_arc[arc]:
+            s = next(s for s in order if room[s])
+            room[s] -= 1
+            want[arc, s] += 1
+    arcs = dict(rows)
+    assert Counter((arcs[d], s) for d, (s, _) in got.items()) == want
+
+
+def test_one_more_shard_moves_few(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
+    a, b = ({r.doc_id: r.shard for r in S.shard(docs, n, "rows").select("doc_id", "shard").collect()} for n in (24, 25))
+    assert sum(a[d] != b[d] for d in a) < 0.08 * len(a)  # 4 % at best
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(id as string) as text")
+    assert docs.select(S.arc_of(docs["doc_id"], docs["text"]).alias("a")).distinct().count() > 2000
+    out = S.shard(docs, 5).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in out) == [600] * 5
+
+
 def test_empty(docs):
     assert S.shard(docs.limit(0)).count() == 0
