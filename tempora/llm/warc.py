@@ -12,27 +12,29 @@ total length, and the chunked framing of the joined block is decoded.
 
 Defined results: a null html is an empty payload; a null page_id counts as the smallest id and is written as such;
 repeated rows are written each, and of records with the smallest page_id and an equal payload one is the response; an
-empty table gives an empty result; extra columns are ignored. A record that is cut short or whose segments are missing
-or have the wrong length is reported in `error` with an empty payload, never dropped.
+empty table gives an empty result; extra columns are ignored. A record that is cut short, has no readable length, or whose
+segments are missing or have the wrong length is reported in `error` with an empty payload, never dropped, and reading
+goes on at the next record; a foreign record without a page id has a null one; what a damaged gzip member still gives is
+read. Very long pages are segmented, so only the segments of one page ever meet in one task.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, small_batches
 
-SEGMENT = 64 * 1024
-CHUNK = 16 * 1024
-#: An archive is read as one value, so it holds few records.
+SEGMENT = 16 * 1024
+CHUNK = 4 * 1024
+#: An archive is read as one value. A record has at most SEGMENT bytes and its header, so one has at most about 35 MB.
 RECORDS_PER_FILE = 2000
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -40,7 +42,7 @@ REVISIT_BYTES = 100
 BROADCAST_ROWS = 300_000
 NULL_ID = -(2**63)
 DATE = "2024-01-01T00:00:00Z"
-ENTRY_SCHEMA = "page_id long, record_id string, origin string, segment int, total long, type string, refers string, block binary, parted boolean, length long, digest string, error string"
+ENTRY_SCHEMA = "page_id long, record_id string, origin string, segment int, total long, type string, refers long, block binary, parted boolean, length long, digest string, error string"
 
 
 def _cuts(data: bytes, size: int) -> list[bytes]:
@@ -106,10 +108,26 @@ def records(page_id: int, copy: int, url: str | None, html: str | None, refers_t
     return out
 
 
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """The text of all gzip members, and what is wrong with the last one read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as e:
+            return b"".join(out), str(e)
+        if not member.eof:
+            return b"".join(out), "the gzip member is cut short"
+        data = member.unused_data
+    return b"".join(out), None
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
     """The (fields, block, error) of each record of an archive, gzip members or plain."""
+    wrong = None
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, wrong = inflate(data)
     at = 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
@@ -117,22 +135,39 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
             if data[at : nxt if nxt >= 0 else len(data)].strip():
                 yield {}, b"", "no record begins here"
             if nxt < 0:
-                return
+                break
             at = nxt
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             yield {}, b"", "header is cut short"
-            return
+            break
         fields = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             fields[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
-        length = int(fields.get("content-length", "0"))
+        length = _number(fields, "content-length")
+        if length is None:
+            yield fields, b"", "the length is missing or no number"
+            nxt = data.find(b"WARC/1.", end)
+            if nxt < 0:
+                break
+            at = nxt
+            continue
         block = data[end + 4 : end + 4 + length]
         yield fields, block, None if len(block) == length else "block is cut short"
         at = end + 4 + length
         while data[at : at + 2] == b"\r\n":
             at += 2
+    if wrong:
+        yield {}, b"", wrong
+
+
+def _number(fields: dict[str, str], key: str) -> int | None:
+    value = fields.get(key, "")
+    if not re.fullmatch(r"-?[0-9]{1,19}", value):
+        return None
+    n = int(value)
+    return n if -(2**63) <= n < 2**63 and (n >= 0 or key.endswith("page-id")) else None
 
 
 def dedup(pages: DataFrame) -> DataFrame:
@@ -167,8 +202,9 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     dedup(pages).withColumn("refers_to", F.col("refers_to").cast("string")).mapInPandas(lines, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path."""
+def entries(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives under path, each archive parsed once. A record that is not segmented is decoded
+    where it is read; without `payloads` only its length and digest leave the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
@@ -176,10 +212,16 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
             for content in pdf["content"]:
                 rows, held = [], 0
                 for f, block, error in parse(bytes(content)):
-                    rid = f.get("warc-record-id")
-                    num = lambda k, f=f: int(f[k]) if k in f else None
-                    rows.append((num("warc-page-id"), rid, f.get("warc-segment-origin-id", rid), num("warc-segment-number") or 1, num("warc-segment-total-length"), f.get("warc-type"), f.get("warc-refers-to-page-id"), block, "warc-segment-number" in f, num("warc-payload-length"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, error))
-                    held += len(block)
+                    rid, kind = f.get("warc-record-id"), f.get("warc-type")
+                    parted = "warc-segment-number" in f
+                    length, digest, kept = _number(f, "warc-payload-length"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, block
+                    if kind == "revisit":  # its block has no payload; the header tells the payload's length and digest
+                        kept = None
+                    elif not parted:
+                        payload, error = (b"", error) if error else _assemble([(1, None, block)], True)
+                        length, digest, kept = len(payload), hashlib.sha256(payload).hexdigest(), payload if payloads else None
+                    rows.append((_number(f, "warc-page-id"), rid, f.get("warc-segment-origin-id", rid), _number(f, "warc-segment-number") or 1, _number(f, "warc-segment-total-length"), kind, _number(f, "warc-refers-to-page-id"), kept, parted, length, digest, error))
+                    held += len(kept or b"") + 500
                     if held > 4 << 20:
                         yield pd.DataFrame(rows, columns=cols).astype(object)
                         rows, held = [], 0
@@ -206,53 +248,44 @@ def _assemble(parts: list[tuple[int, int | None, bytes]], whole: bool) -> tuple[
         return b"", str(e)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+READ_SCHEMA = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The page of all segments of one origin."""
+    head = pdf[pdf["type"] == "response"]
+    first = head.iloc[0] if len(head) else pdf.iloc[0]
+    parts = [(int(s), None if pd.isna(t) else int(t), bytes(b)) for s, t, b in zip(pdf["segment"], pdf["total"], pdf["block"])]
+    error = next((x for x in pdf["error"] if isinstance(x, str)), None)
+    payload, wrong = (b"", error) if error else _assemble(parts, False)
+    page = None if pd.isna(first["page_id"]) else int(first["page_id"])
+    row = (page, "response", None, len(payload), hashlib.sha256(payload).hexdigest(), payload, wrong)
+    return pd.DataFrame([row], columns=[c.split()[0] for c in READ_SCHEMA.split(", ")]).astype(object)
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per page: page_id, record_type, refers_to, payload_bytes, payload_digest, payload, error.
 
     A page in one record is decoded where it is read. Only segmented records are shuffled, by origin identifier; a group
-    is the segments of one page.
+    is the segments of one page. Without `payloads` that column is null for pages in one record.
     """
-    e = entries(spark, path)
-    schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
+    e = cut(entries(spark, path, payloads), "warc-entries")
+    lone = e.where(~F.col("parted")).select("page_id", F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("block").alias("payload"), "error")
+    return lone.union(e.where(F.col("parted")).groupBy("origin").applyInPandas(_joined, READ_SCHEMA))
 
-    def decode(page, kind, refers, parts, whole, error):
-        payload, wrong = (b"", error) if error else _assemble(parts, whole)
-        return page, kind, None if refers is None else int(refers), len(payload), hashlib.sha256(payload).hexdigest(), payload, wrong
 
-    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                row = decode(None if pd.isna(r.page_id) else int(r.page_id), r.type, None if pd.isna(r.refers) else r.refers, [(1, None, bytes(r.block))], True, r.error)
-                if r.type == "revisit":  # its block has no payload; the header tells the payload's length and digest
-                    row = (*row[:3], None if pd.isna(r.length) else int(r.length), r.digest, None, r.error)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["type"] == "response"]
-        first = head.iloc[0] if len(head) else pdf.iloc[0]
-        error = next((x for x in pdf["error"] if x), None)
-        parts = [(int(s), None if pd.isna(t) else int(t), bytes(b)) for s, t, b in zip(pdf["segment"], pdf["total"], pdf["block"])]
-        row = decode(int(first["page_id"]), "response", None, parts, False, error)
-        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
-
-    lone = e.where(~F.col("parted"))
-    parted = e.where(F.col("parted"))
-    return lone.mapInPandas(alone, schema).union(parted.groupBy("origin").applyInPandas(joined, schema))
-
-
-def archive(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Write the archives of pages to the shared folder, read them back, and give read()'s rows for revisits the payload is that of the response they refer to."""
+def archive(pages: DataFrame, segment: int = SEGMENT, payloads: bool = True) -> DataFrame:
+    """Write the archives of pages to the shared folder, read them back, and give read()'s rows; for revisits the payload is that of the response they refer to."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, segment)
-    return read(spark, path)
+    return read(spark, path, payloads)
 
 
 def digest_rows(pages: DataFrame) -> DataFrame:
     """archive() without the payloads. A revisit's length and digest are checked against its response as read back."""
-    rows = archive(pages).select(F.nullif("page_id", F.lit(NULL_ID)).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    small_batches(pages.sparkSession)
+    rows = archive(pages, payloads=False).select(F.nullif("page_id", F.lit(NULL_ID)).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
     rows = cut(rows, "warc-rows")
     there = rows.where("record_type = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).distinct()
     low = F.coalesce("refers_to", F.lit(NULL_ID))

@@ -47,3 +47,25 @@ def test_repeated_null_and_empty(spark):
     out = W.digest_rows(pages).collect()
     assert sorted((str(r.page_id), r.record_type) for r in out) == [("1", "revisit"), ("1", "revisit"), ("None", "response")]
     assert W.digest_rows(pages.limit(0)).count() == 0
+
+
+def test_malformed_archives(spark, tmp_path):
+    import gzip
+
+    one = (W.records(1, 0, "u", "abc", None)[0] + "\r\n").encode()
+    bad = one.replace(b"Content-Length: ", b"Content-Length: x")
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\nWARC-Page-ID: no\r\n\r\nabc\r\n\r\n"
+    got = list(W.parse(b"junk" + bad + foreign + one))
+    assert [e for *_, e in got if e] == ["no record begins here", "the length is missing or no number"] and got[-1][2] is None
+    packed = gzip.compress(one) + gzip.compress(one)
+    assert len(list(W.parse(packed))) == 2
+    cut_short = list(W.parse(packed[:-30]))
+    assert cut_short[0][2] is None and cut_short[-1][2]
+    assert list(W.parse(b"")) == []
+    (tmp_path / "a").mkdir()
+    lone = W.records(5, 0, "u", "z" * 50_000, None)[1].encode() + b"\r\n"  # a continuation without its origin
+    for name, data in (("a.warc", bad + foreign + one), ("b.warc.gz", packed[:-30]), ("c.warc", b""), ("d.warc", lone)):
+        (tmp_path / "a" / name).write_bytes(data)
+    rows = W.read(spark, str(tmp_path / "a")).collect()
+    assert sum(r.error is None for r in rows) >= 3 and sum(r.error is not None for r in rows) >= 3
+    assert any(r.page_id is None and r.error is None and r.payload_bytes == 3 for r in rows)
