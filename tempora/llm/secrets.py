@@ -1,36 +1,86 @@
 """Secret scans: candidate words by shape and context, false positives removed by a random forest, no Python on the rows.
 
 A candidate is a word of a text (between ASCII white space) that carries digits in a long run of token characters, or is
-the value of an assignment to a credential's name, of any length and with or without digits. Its features are its length, the share of changes between character
-classes, the shares of digits, capitals and distinct characters, how much of it dictionary words cover, known shapes,
-the words around it and the path of the document. A random forest of Spark ML scores the candidates; it is trained on
-labelled findings, by default those that training_findings() makes by rule: credentials of the usual formats and the
-usual lookalikes (checksums, commit ids, UUIDs, addresses, placeholders, identifiers) with the words around them.
+the value of an assignment to a credential's name, of any length and with or without digits, or follows the head of a
+private key. Its features are its length, the share of changes between character classes, how likely its letters follow
+each other in the corpus, the shares of digits, capitals and distinct characters, how much of it words of the corpus
+cover, the words around it and the path of the document. No feature tells an issued key by its format: formats only name
+the kind of a finding. The dictionary (words of at least MIN_COUNT occurrences) and the letter transitions are counted
+over all documents.
+
+A random forest of Spark ML scores the candidates; it is trained on labelled findings, by default those that
+training_findings() makes by rule from the corpus's words: credentials of several makes and lookalikes (checksums,
+commit ids, UUIDs, addresses, placeholders, identifiers, plain words) with the words around them.
 
 Everything on the main path is a DataFrame or SQL expression, or a Spark ML transformer.
 
-Defined results: null and empty texts have no findings; a null path has no hint; repeated rows are scanned each; an empty
-table gives an empty result; extra columns are ignored. The secret itself is never returned, only its SHA-256.
+Defined results: null and empty texts have no findings; a null path has no hint; very long texts are read whole, a word of
+any length is one candidate; a score of exactly the threshold is a secret; repeated rows are scanned each; an empty table
+gives an empty result; extra columns, whatever their names, are ignored. The secret itself is never returned, only its
+SHA-256.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, join_hot
+
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|etag|uuid|guid|revision|isbn|version|build|session_count|page|photo|order)"
 EXAMPLE_PATH = r"(?i)(test|example|mock|fixture|sample|demo|doc)"
 #: Public formats of issued keys.
 KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{30,}$|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
-DICTIONARY = "example sample test your here token password secret user name value change placeholder dummy foo bar admin http https www com org net mail image index page file path data null none true false default string number account client server service config local host port enter insert xxxx".split()
-FEATURES = ["length", "transitions", "digits", "capitals", "variety", "coverage", "known", "hex", "address", "uuid", "dotted", "assigned", "named", "near_credential", "near_harmless", "example_path"]
+KEY_HEAD = r"KEY-----$"
+FEATURES = ["length", "transitions", "letters", "digits", "capitals", "variety", "coverage", "hex", "address", "uuid", "dotted", "assigned", "named", "near_credential", "near_harmless", "example_path"]
+#: A word of the dictionary occurs so often in the corpus.
+MIN_COUNT = 5
+#: Words of the dictionary that the training findings are made of.
+VOCABULARY = 300
+#: Characters of the transition model: a to z, and one place for all others.
+LETTERS = 27
 SEED = 7
 
 
+@dataclass
+class Corpus:
+    """What is counted over all documents: the dictionary (word, n), and log probabilities of a letter after a letter."""
+
+    dictionary: DataFrame
+    after: list[float]
+
+    @property
+    def common(self) -> list[str]:
+        """Its most frequent words, at most VOCABULARY."""
+        return [r["word"] for r in self.dictionary.where("length(word) between 3 and 12").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+
+
+def _letter(c: Column) -> Column:
+    n = F.ascii(c) - 97
+    return F.when((n >= 0) & (n < LETTERS - 1), n).otherwise(LETTERS - 1)
+
+
+def corpus(docs: DataFrame) -> Corpus:
+    """The dictionary and the transitions of all documents; at most LETTERS squared numbers reach the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word"))
+    dictionary = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT), "dictionary")
+    pairs = dictionary.select("n", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    place = _letter(F.expr("substring(word, i, 1)")) * LETTERS + _letter(F.expr("substring(word, i + 1, 1)"))
+    counts = {r["place"]: r["n"] for r in pairs.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).collect()}
+    after = []
+    for a in range(LETTERS):
+        total = sum(counts.get(a * LETTERS + b, 0) for b in range(LETTERS))
+        after += [math.log((counts.get(a * LETTERS + b, 0) + 1) / (total + LETTERS)) for b in range(LETTERS)]
+    return Corpus(dictionary, after)
+
+
 def _share(value: Column, pattern: str) -> Column:
     """The share of a value's characters in a class."""
     n = F.length(value)
@@ -40,8 +90,8 @@ def _share(value: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """Rows doc_id, word_index, word, before2, before, after, path of every candidate in the whole texts."""
     where = F.col(path) if path and path in docs.columns else F.lit(None)
-    # a candidate has a digit or a credential's name near it: a text with neither is never split
-    likely = F.col("text").rlike("[0-9]") | F.col("text").rlike(CREDENTIAL)
+    # a candidate has a digit, a credential's name or the head of a key near it: a text with none of them is never split
+    likely = F.col("text").rlike("[0-9]") | F.col("text").rlike(CREDENTIAL) | F.col("text").contains("KEY-----")
     words = F.split("text", r"[\x20\x09-\x0D]+")
     split = docs.where(likely).select("doc_id", where.cast("string").alias("path"), words.alias("w"))
     shape = lambda w: (F.length(w) >= 8) & w.rlike(r"[0-9]") & w.rlike(r"[A-Za-z0-9+/_-]{14,}")
@@ -50,7 +100,7 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     def assigned(i: Column) -> Column:
         """The word, or the words before it as features() reads them, assign to a credential's name."""
         own = F.get("w", i).rlike(CREDENTIAL + r"[\w-]*[\"']?[=:]+[^=:]")
-        before = (nth(i - 1).rlike("[=:]$") & nth(i - 1).rlike(CREDENTIAL)) | (nth(i - 1).rlike("^[=:]+$") & nth(i - 2).rlike(CREDENTIAL))
+        before = (nth(i - 1).rlike("[=:]$") & nth(i - 1).rlike(CREDENTIAL)) | (nth(i - 1).rlike("^[=:]+$") & nth(i - 2).rlike(CREDENTIAL)) | nth(i - 1).rlike(KEY_HEAD)
         return own | (before & F.get("w", i).rlike("[^=:]"))
 
     split = split.select("doc_id", "path", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: shape(F.get("w", i)) | assigned(i))).alias("word_index"))
@@ -59,26 +109,44 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     return split.select("doc_id", "word_index", at(0).alias("word"), back(2).alias("before2"), back(1).alias("before"), at(1).alias("after"), "path")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """The candidates with name, value and the columns of FEATURES."""
+def _values(found: DataFrame) -> DataFrame:
+    """The candidates with name and value: what is assigned, without its quotes and the punctuation after it."""
     out = found.withColumn("name", F.regexp_extract("word", r"^[\"'({\[]*([A-Za-z][\w-]*)[\"']?[=:]", 1))
-    out = out.withColumn("value", F.regexp_replace(F.regexp_replace("word", r"^[\"'({\[]*(?:[A-Za-z][\w-]*[\"']?[=:])?[\"'({\[<]*", ""), r"[\"')}\]>;,.!?]+$", ""))
+    return out.withColumn("value", F.regexp_replace(F.regexp_replace("word", r"^[\"'({\[]*(?:[A-Za-z][\w-]*[\"']?[=:])?[\"'({\[<]*", ""), r"[\"')}\]>;,.!?]+$", ""))
+
+
+def _coverage(values: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """value, n (rows that have it) and coverage: the share of its letters that are in words of the dictionary."""
+    each = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    runs = each.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{3,})"), 1)).alias("word"))
+    known = runs.join(dictionary.select("word", F.lit(True).alias("known")), "word", "left")
+    size = F.length("word")
+    share = known.groupBy("value").agg((F.sum(F.when(F.col("known"), size).otherwise(0)) / F.sum(size)).alias("coverage"))
+    return each.join(share, "value", "left").select("value", "n", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def features(found: DataFrame, known: Corpus) -> DataFrame:
+    """The candidates with name, value and the columns of FEATURES."""
+    out = cut(_values(found), "values")
+    out = join_hot(out, cut(_coverage(out, known.dictionary), "coverage"), ["value"], "n", out.count()).drop("n")
     v = F.col("value")
     assigned = (F.col("name") != "") | F.col("before").rlike(r"[=:]$")
-    named = F.when(F.col("name") != "", F.col("name")).when(F.col("before").rlike(r"^[=:]+$"), F.col("before2")).when(F.col("before").rlike(r"[=:]$"), F.col("before")).otherwise("")
+    named = F.when(F.col("name") != "", F.col("name")).when(F.col("before").rlike(r"^[=:]+$"), F.col("before2")).when(F.col("before").rlike(r"[=:]$"), F.col("before")).when(F.col("before").rlike(KEY_HEAD), F.lit("private_key")).otherwise("")
     context = F.concat_ws(" ", "before2", "before", "after")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "1")
-    runs = F.regexp_extract_all(F.lower(v), F.lit("([a-z]{3,})"), 1)
-    hit = F.regexp_extract_all(F.lower(v), F.lit("(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"), 1)
     size = F.greatest(F.length(v), F.lit(1))
+    after = F.array(*[F.lit(x) for x in known.after])
+    low = F.lower(v)
+    pair = lambda i: F.get(after, _letter(F.substring(low, i, F.lit(1))) * LETTERS + _letter(F.substring(low, i + 1, F.lit(1))))
+    pairs = F.when(F.length(v) > 1, F.aggregate(F.transform(F.sequence(F.lit(1), F.length(v) - 1), pair), F.lit(0.0), lambda a, x: a + x) / (F.length(v) - 1)).otherwise(0.0)
     columns = {
         "length": F.length(v),
         "transitions": (F.length(classes) - 1) / size,
+        "letters": pairs,
         "digits": _share(v, "[0-9]"),
         "capitals": _share(v, "[A-Z]"),
-        "variety": F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) / F.least(size, F.lit(256)),
-        "coverage": F.aggregate(hit, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x)), F.lit(1)),
-        "known": v.rlike(KNOWN),
+        "variety": F.size(F.array_distinct(F.split(v, ""))) / F.least(size, F.lit(64)),
+        "coverage": F.col("coverage"),
         "hex": v.rlike("^[0-9a-f]{12,}$|^[0-9A-F]{12,}$"),
         "address": v.rlike(r"@|://|^www\.|^/|\.(com|org|net|html?|png|jpe?g)\b"),
         "uuid": v.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
@@ -92,15 +160,19 @@ def features(found: DataFrame) -> DataFrame:
     return out.withColumns({k: c.cast("double") for k, c in columns.items()})
 
 
-def training_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Labelled findings made by rule from row numbers: the columns of candidates() and secret (0 or 1)."""
+def training_findings(spark: SparkSession, vocabulary: list[str], rows: int = 8000) -> DataFrame:
+    """Labelled findings made by rule from row numbers and words of the corpus: the columns of candidates(), kind and
+    secret (0 or 1)."""
     h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}/"), F.col("id").cast("string")), 256)
     b64 = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(salt), h(salt + "b")))), "[+/=]", "x"), 1, n)
     up = lambda salt, n: F.upper(F.substring(F.regexp_replace(b64(salt, 64), "[^A-Za-z0-9]", "q"), 1, n))
     pick = lambda salt, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))) + 1).cast("int"))
     n = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(k)).cast("string")
-    plain = ["the", "with", "of", "that", "and", "from", "sera", "und", "is"]
-    cred = ["password", "passwd", "token", "secret", "api_key", "auth_token"]
+    plain = vocabulary or ["the", "with", "of", "that"]
+    cred = ["password", "passwd", "token", "secret", "api_key", "auth_token", "client_secret", "access_key"]
+    word = lambda salt: pick(salt, plain)
+    cap = lambda salt: F.initcap(word(salt))
+    sep = pick("sep", ["-", "_", "."])
     # word, word before the one before, word before, secret
     kinds = [
         (F.concat(F.lit("AKIA"), up("k1", 16)), pick("p1", plain), pick("p2", plain), 1),
@@ -120,12 +192,23 @@ def training_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat(pick("z", ["getUserNameFromIndex", "default_config_value_", "image-gallery-number-", "SECTION_HEADER_"]), n("d7", 1000)), pick("p1", plain), pick("p2", plain), 0),
         (F.concat(F.lit("2024-0"), n("d8", 9), F.lit("-11T12:0"), n("e8", 9), F.lit(":00.000+00:00")), pick("p1", plain), pick("p2", plain), 0),
         (F.concat(F.lit("+49-"), n("d9", 1000), F.lit("-"), n("e9", 10_000_000), n("f9", 1000)), pick("p1", plain), pick("p2", plain), 0),
-        (F.concat(pick("w", ["andtheningthereof", "einverberlichung", "queosasgacion"]), n("d10", 10_000)), pick("p1", plain), pick("p2", plain), 0),
+        (F.concat(word("w1"), word("w2"), word("w3"), n("d10", 10_000)), word("p1"), word("p2"), 0),
+        (F.concat(word("w1"), sep, word("w2"), sep, word("w3"), sep, n("d11", 100)), word("p1"), word("p2"), 0),
+        (F.concat(word("w1"), cap("w2"), cap("w3"), n("d12", 1000)), word("p1"), word("p2"), 0),
+        # plain words after a credential's name, and what they assign in a sentence
+        (F.concat(word("w1"), pick("e1", ["", ".", ","])), word("p1"), F.concat(pick("c", cred), F.lit(":")), 0),
+        (word("w1"), pick("c", cred), pick("q", ["=", ":"]), 0),
+        (F.concat(pick("c", cred), pick("q", ["=", ":"]), word("w1")), word("p1"), word("p2"), 0),
+        # passphrases, passwords without digits, and keys between their head and foot
+        (F.concat(pick("c", cred), pick("q", ["=", ":"]), word("w1"), sep, word("w2"), sep, word("w3"), sep, word("w4")), word("p1"), word("p2"), 1),
+        (F.concat(F.lit('"'), cap("w1"), F.substring(b64("k9", 40), 1, 4), pick("s1", ["!", "#", "$"]), n("d13", 100), F.lit('"')), pick("c", cred), pick("q", ["=", ":"]), 1),
+        (b64("k10", 64), F.lit("PRIVATE"), F.lit("KEY-----"), 1),
+        (up("k11", 32), word("p1"), F.concat(pick("c", cred), F.lit(":")), 1),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
     choose = lambda k: F.element_at(F.array(*[x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds]), (kind + 1).cast("int"))
     return spark.range(rows).select(
-        F.col("id").alias("doc_id"), F.lit(0).alias("word_index"), choose(0).alias("word"), choose(1).alias("before2"), choose(2).alias("before"), pick("p3", plain).alias("after"), pick("src", ["src1", "src/main", "lib"]).alias("path"), choose(3).alias("secret")
+        F.col("id").alias("doc_id"), F.lit(0).alias("word_index"), choose(0).alias("word"), choose(1).alias("before2"), choose(2).alias("before"), pick("p3", plain).alias("after"), pick("src", ["src1", "src/main", "lib"]).alias("path"), kind.cast("int").alias("kind"), choose(3).alias("secret")
     )
 
 
@@ -133,22 +216,25 @@ def _vectors(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
 
-def fit(findings: DataFrame, trees: int = 20, depth: int = 7) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, known: Corpus, trees: int = 30, depth: int = 9) -> RandomForestClassificationModel:
     """The forest from labelled findings (the columns of candidates() and secret)."""
     forest = RandomForestClassifier(labelCol="secret", featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED, subsamplingRate=0.8, featureSubsetStrategy="sqrt")
-    return forest.fit(_vectors(features(findings)).select("features", F.col("secret").cast("double")))
+    # in a fixed order, so that the seed gives the same trees each time
+    rows = _vectors(features(findings, known)).select("features", F.col("secret").cast("double"), "doc_id", "word").coalesce(1).sortWithinPartitions("doc_id", "word")
+    return forest.fit(rows.select("features", "secret"))
 
 
-def score(found: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
+def score(found: DataFrame, model: RandomForestClassificationModel, known: Corpus, threshold: float = 0.5) -> DataFrame:
     """doc_id, word_index, name, value_length, value_sha256, kind, probability, is_secret of every candidate."""
-    scored = model.transform(_vectors(features(found)))
+    scored = model.transform(_vectors(features(found, known)))
     v = F.col("value")
-    kind = F.when(v.rlike("^(AKIA|ASIA)"), "cloud_key").when(F.col("known") > 0, "issued_key").when(F.col("named") > 0, "assignment").when(F.col("hex") > 0, "hex").when(F.col("address") > 0, "address").otherwise("other")
+    kind = F.when(v.rlike("^(AKIA|ASIA)"), "cloud_key").when(v.rlike(KNOWN), "issued_key").when(F.col("before").rlike(KEY_HEAD), "private_key").when(F.col("named") > 0, "assignment").when(F.col("hex") > 0, "hex").when(F.col("address") > 0, "address").otherwise("other")
     p = F.round(vector_to_array("probability").getItem(1), 9)
     return scored.select("doc_id", "word_index", "name", F.col("length").cast("int").alias("value_length"), F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), kind.alias("kind"), p.alias("probability"), (p >= threshold).alias("is_secret"))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, path: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, path: str | None = "source", known: Corpus | None = None) -> DataFrame:
     """Score every candidate of every whole text."""
-    model = model or fit(training_findings(docs.sparkSession))
-    return score(candidates(docs, path), model)
+    known = known or corpus(docs)
+    model = model or fit(training_findings(docs.sparkSession, known.common), known)
+    return score(candidates(docs, path), model, known)
