@@ -2,21 +2,26 @@
 
 A lexicon of whole words and of word stems is learned from labelled documents. Its trie is intersected with the
 Levenshtein automaton of each word (one edit from 5 letters, two from 9) and made deterministic lazily, so a token costs
-one dictionary step per letter and most tokens die within three. Around each hit a window of tokens tells quotation
-(quote marks, verbs of saying) from abuse (second person, further hits). The counts are the features of a logistic
-regression.
+one dictionary step per letter and most tokens die within three. What the automaton takes for a misspelling but clean
+training documents use as a word of their own is learned as an exception; what is left counts at least half as much as
+the word itself, so that a spelling never seen before is caught. Around each hit a window of tokens tells quotation
+(quote marks of the whole line, verbs of saying) from abuse (second person, further hits). The counts are the features
+of a logistic regression; exceptions come from one half of the clean sample, the regression from the other.
 
 Defined results: a null or empty text has no hits and gets the score that the regression gives to no hits; repeated rows
-are scored each; an empty table gives an empty result; without labels of both classes the score is the share of toxic
-labels (0.0 without any). Columns other than doc_id and text are never read by the score.
+are scored each; very long texts are read whole; a word and a stem that both match count as the word, and of equally near
+lexicon words any is the misspelled one, as all weigh the same; an empty table gives an empty result; without labels of
+both classes the score is the share of toxic labels (0.0 without any). Columns other than doc_id and text, whatever their
+names, are never read by the score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -25,15 +30,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches, trim
 
 TOKEN = re.compile(r"[^\W_]+")
-QUOTES = "\"“”„«»‹›"
+QUOTE = re.compile("[\"“”„«»‹›]")
 SAYING = frozenset("said says say called calls wrote writes quote quoted quotes reported claimed dit disait sagte schrieb nannte dijo escribió".split())
 SECOND_PERSON = frozenset("you your yours u ur tu toi ton ta vous votre du dich dir dein sie ihr usted te ti".split())
 WINDOW = 12
 #: Share of the toxic training documents that a lexicon term must be found in.
 SUPPORT = 0.015
+#: The least weight of a misspelled word against that of the word.
+MISSPELLED = 0.5
 FEATURES = 7
 SCORE_SCHEMA = "doc_id long, score double, predicted int, n_exact int, n_stem int, n_fuzzy int, n_quoted int"
 
@@ -49,7 +56,8 @@ class LexiconAutomaton:
     run(token) gives 0 (nothing), 1 (a lexicon word), 2 (begins with a lexicon stem) or 3 (a lexicon word misspelled).
     """
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], exceptions: Iterable[str] = ()):
+        self.exceptions = frozenset(exceptions)
         self.child: list[dict[str, int]] = [{}]
         self.word_edits, self.is_stem, self.reach = [-1], [False], [0]
         for term, stem in [(w, False) for w in words] + [(s, True) for s in stems]:
@@ -132,6 +140,8 @@ class LexiconAutomaton:
             stem = stem or self.stem[to]
             at = to
         found = self.end[at]
+        if found == 3 and token in self.exceptions:
+            found = 0
         return 1 if found == 1 else 2 if stem else found
 
     def matches(self, tokens: set[str]) -> set[str]:
@@ -143,7 +153,7 @@ class LexiconAutomaton:
             else:
                 self.clean.add(token)
         out = tokens & self.found.keys()
-        if len(self.clean) + len(self.found) > 400_000:
+        if len(self.clean) + len(self.found) > 150_000:
             self.clean.clear()
             self.found = {t: self.found[t] for t in out}
         return out
@@ -164,20 +174,22 @@ def hits(text: str | None, automaton: LexiconAutomaton) -> np.ndarray:
     for i, m in enumerate(TOKEN.finditer(low)):
         if i in wanted:
             spans[i] = m.span()
+    marks = [m.start() for m in QUOTE.finditer(low)]
     for i in at:
         kind = automaton.found[tokens[i]]
         a, b = spans[i]
-        line = low.rfind("\n", 0, a) + 1
+        inside = False
+        if marks:
+            line, end = low.rfind("\n", 0, a) + 1, low.find("\n", b)
+            opened = bisect_left(marks, a) - bisect_left(marks, line)
+            inside = opened % 2 == 1 and bisect_left(marks, b) < bisect_left(marks, end if end >= 0 else len(low))
         near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-        before, after = low[max(line, a - 160) : a], low[b : b + 160].split("\n", 1)[0]
-        inside = sum(before.count(q) for q in QUOTES) % 2 == 1 and any(q in after for q in QUOTES)
         if inside or any(t in SAYING for t in tokens[max(0, i - 4) : i]):
             out[3] += 1
         else:
             out[kind - 1] += 1
         if any(t in SECOND_PERSON for t in near):
             out[6] += 1
-    at = [i for i in at if automaton.found[tokens[i]] != 3]
     out[4] = 100 * len(at) / max(1, len(tokens))
     lo = 0
     for hi, i in enumerate(at):
@@ -191,6 +203,7 @@ def hits(text: str | None, automaton: LexiconAutomaton) -> np.ndarray:
 class ToxicityModel:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    exceptions: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -233,12 +246,26 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": pd.Series(part, dtype=object), **columns})
 
 
-def _features(words: list[str], stems: list[str]):
+def _misspellings(words: list[str], stems: list[str]):
+    """Tokens of the texts that the automaton takes for misspellings, once a batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = LexiconAutomaton(words, stems)
+        for pdf in batches:
+            tokens = {t for text in pdf["text"] for t in TOKEN.findall((text or "").lower())}
+            yield pd.DataFrame({"token": pd.Series(sorted(t for t in automaton.matches(tokens) if automaton.found[t] == 3), dtype=object)})
+
+    return run
+
+
+def _features(words: list[str], stems: list[str], exceptions: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = LexiconAutomaton(words, stems, exceptions)
         for pdf in batches:
             x = np.array([hits(t, automaton) for t in pdf["text"]]).reshape(-1, FEATURES)
             yield pd.DataFrame({"y": pdf["y"].to_numpy(), **{f"f{i}": x[:, i] for i in range(FEATURES)}})
+        del automaton
+        trim()
 
     return run
 
@@ -289,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, candidates: i
 
     The driver gets at most `candidates` terms and 2 * per_class rows of seven numbers, whatever the size of the input.
     """
+    small_batches(docs.sparkSession)
     sample, total = _sample(docs, labels, per_class)
     n0, n1 = min(per_class, total.get(0, 0)), min(per_class, total.get(1, 0))
     if not n0 or not n1:
@@ -308,7 +336,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, candidates: i
             .collect()
         )
         words, stems = choose_lexicon([tuple(r) for r in terms], n0, n1)
-        rows = sample.mapInPandas(_features(words, stems), "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
+        half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+        near = sample.where((F.col("y") == 0) & half).mapInPandas(_misspellings(words, stems), "token string").distinct()
+        # words of at most per_class documents that are within two letters of a lexicon word
+        exceptions = sorted(r["token"] for r in near.collect())
+        rows = sample.where((F.col("y") == 1) | ~half).mapInPandas(_features(words, stems, exceptions), "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
     finally:
         sample.unpersist()
     y = rows["y"].to_numpy(dtype=float)
@@ -319,19 +351,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, candidates: i
     if off:  # only quotation may speak for a document: what else does is noise
         x[:, off] = 0
         w = [0.0 if i in off else v for i, v in enumerate(regression(x, y, weight))]
-    return ToxicityModel(words, stems, w)
+    # training documents hold few of the spellings to come: a misspelled word counts half as much as the word at least
+    w[2] = max(w[2], MISSPELLED * w[0])
+    return ToxicityModel(words, stems, exceptions, w)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Score every whole text: doc_id, score, predicted and the counts behind them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = LexiconAutomaton(model.words, model.stems)
+        automaton = LexiconAutomaton(model.words, model.stems, model.exceptions)
         for pdf in batches:
             x = np.array([hits(t, automaton) for t in pdf["text"]]).reshape(-1, FEATURES)
             p = model.probability(x)
             n = x.astype("int32")
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": p, "predicted": (p >= 0.5).astype("int32"), "n_exact": n[:, 0], "n_stem": n[:, 1], "n_fuzzy": n[:, 2], "n_quoted": n[:, 3]})
+        del automaton
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCORE_SCHEMA)
 
@@ -341,8 +377,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = LexiconAutomaton(model.words, model.stems)
+        automaton = LexiconAutomaton(model.words, model.stems, model.exceptions)
         for texts in parts:
             yield pd.Series(model.probability(np.array([hits(t, automaton) for t in texts]).reshape(-1, FEATURES)))
+        del automaton
+        trim()
 
     return docs.where(probability("text") < threshold)

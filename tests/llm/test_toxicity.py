@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from tempora.llm import toxicity as T
 
@@ -62,6 +63,46 @@ def test_fit_and_score(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 300} == {i for i in range(300) if i % 5}
 
 
+def test_quote_marks_of_the_whole_line_count():
+    a = T.LexiconAutomaton(["moron"], [])
+    assert list(T.hits('"' + "word " * 200 + 'moron" once', a)[:4]) == [0, 0, 0, 1]
+    assert list(T.hits('"a" ' + "word " * 200 + 'moron "b"', a)[:4]) == [1, 0, 0, 0]
+    assert list(T.hits('"\nmoron"', a)[:4]) == [1, 0, 0, 0]
+
+
+def test_planted_misspellings_and_quotations(spark):
+    """Held out: misspelled toxic documents are caught, clean words near the lexicon and single quotations are not."""
+    rng = random.Random(4)
+    bad = ["grelbinous", "snorkottle", "vrimpish"]
+    rows, labels, held = [], [], {}
+    for i in range(900):
+        w = ["w" + "".join(rng.choices("aeiou", k=4)) for _ in range(40)]
+        kind = i % 6
+        if kind == 0:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        elif kind == 1:
+            for _ in range(4):  # a letter changed in the middle
+                b, at = rng.choice(bad), rng.randrange(1, 7)
+                w.insert(rng.randrange(len(w)), b[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + b[at + 1 :])
+        elif kind == 2:
+            w.insert(10, rng.choice(["grelbinoud", "snorkottlo", "vrimpist"]))  # words of clean documents
+        elif kind == 3:
+            w.insert(10, f'they said "{rng.choice(bad)}" once')
+        rows.append((i, " ".join(w)))
+        held[i] = (kind, zlib.crc32(str(i).encode()) % 5 == 0)
+        labels.append((i, int(kind in (0, 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(b in model.words or any(b.startswith(x) for x in model.stems) for b in bad)
+    got = {r.doc_id: r.predicted for r in T.score(docs, model).collect()}
+    share = lambda kind: [got[i] for i, (k, out) in held.items() if out and k == kind]
+    for kind in (0, 1):
+        assert sum(share(kind)) >= 0.9 * len(share(kind)), kind
+    for kind in (2, 3, 4, 5):
+        assert sum(share(kind)) <= 0.05 * len(share(kind)), kind
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
