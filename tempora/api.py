@@ -22,7 +22,7 @@ from .operators import rules as U
 from .operators import scans as SC
 from .operators import timeline as TL
 from .operators.ingest import missing_evidence
-from .operators.predicates import scope_exact, scope_read, span_active, state_visible
+from .operators.predicates import scope_exact, scope_read, settled, span_active, state_visible
 from .sources.storage import OP, ROW, SEQ, AlreadyExists, Store, schemas
 from .streaming.ingest import append_artifacts, append_episodes
 
@@ -183,13 +183,13 @@ class Memory:
             new = stored.limit(0)
             if rows:
                 new = K.manual_claims(self._rows("claims", rows)).select(*[c for c in stored.columns if c in {f.name for f in schemas()["claims"]} and (c in rows[0] or c in ("subject_key", "evidence_ids"))])
-                new = stored.limit(0).unionByName(new, allowMissingColumns=True)
+                new = settled(stored.limit(0).unionByName(new, allowMissingColumns=True))
                 for refs, table in (("source_span_ids", "spans"), ("source_episode_ids", "episodes")):
                     lost = missing_evidence(new, self.read(table, s), refs).first()
                     if lost is not None:
                         raise ValueError(f"claim {lost['id']} cites {lost['evidence_id']}, which does not exist")
                 new = K.sequence_numbers(new, self.read("episodes", s)).select(*stored.columns)
-                new = K.canonicalize_claims(new, K.entity_registry(self.read("entity_aliases", s)), K.slot_registry(self.read("slot_aliases", s)))
+                new = settled(K.canonicalize_claims(new, K.entity_registry(self.read("entity_aliases", s)), K.slot_registry(self.read("slot_aliases", s))))
                 writes["claims"] = new.join(stored.select("id"), "id", "left_anti").withColumn(OP, F.lit("put"))
             every = stored.unionByName(new)
             cor = self.store.table("corrections", tenant).where(scope_exact(s)).drop(SEQ, ROW)
@@ -220,6 +220,8 @@ class Memory:
             if job_id is not None:
                 job = self._job(scope, job_id, worker)
                 writes["extraction_jobs"] = job.withColumn(OP, F.lit("delete"))
+            for t, df in writes.items():
+                writes[t] = settled(df)
             counts = {t: df.count() for t, df in writes.items()}
         return counts
 
@@ -235,6 +237,7 @@ class Memory:
         return out
 
     def _erase(self, scope: Mapping, plan: Mapping[str, DataFrame], rewrites: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]) -> dict[str, int]:
+        plan, rewrites = {t: settled(ids) for t, ids in plan.items()}, {t: settled(df) for t, df in rewrites.items()}
         out = {t: ids.count() for t, ids in plan.items()}
         with self.store.mutation(self.scope(scope), erase=True) as writes:
             for t in tables:
@@ -324,15 +327,17 @@ class Memory:
         if views:
             chosen = A.dependency_slots(chosen, self.read("rules", scope)).select(F.col("node").alias("slot_id"))
         states = A.candidate_states(visible, chosen, A.mentioned_entities(entities, query), bool(views))
-        scored = A.assess(states, query, preferred=chosen if views else named, evidence_slots=cited, evidence_spans=ids(evidence_span_ids), entities=entities)
-        selected = A.select_states(scored, limit)
+        scored = A.assess(settled(states), query, preferred=chosen if views else named, evidence_slots=cited, evidence_spans=ids(evidence_span_ids), entities=entities)
+        scored = settled(scored)
+        selected = settled(A.select_states(scored, limit))
         if views:
             selected = A.visible_in_views(selected, views)
         goal = ids(targets).withColumnRenamed("id", "slot_id") if targets else selected.select("slot_id").distinct()
-        now = SC.current_of_slots(claims.drop(SEQ, ROW), goal, self.read("corrections", scope).drop(SEQ, ROW), None, valid_at)
+        goal = settled(goal)
+        now = settled(SC.current_of_slots(claims.drop(SEQ, ROW), goal, self.read("corrections", scope).drop(SEQ, ROW), None, valid_at))
         sets = selected.where("state_kind = 'set'")
         versions = SC.state_history(self.read("state_records", scope), goal, valid_at, transaction_at)
-        support = A.with_views(A.target_support(A.claim_support(now, sets), goal, slots), views, versions)
+        support = settled(A.with_views(A.target_support(A.claim_support(now, sets), goal, slots), views, versions))
         return {"states": selected, "support": support, "slots": A.resolved_slots(support, now, sets, versions), "trace": A.selection_trace(visible, scored, selected)}
 
     def validate_answer(self, answer: DataFrame, support: DataFrame, spans: DataFrame) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import HIDDEN_TEXT
 from .claims import SET_KINDS
+from .predicates import settled
 
 #: Lists of evidence ids, by table.
 EVIDENCE = {
@@ -74,7 +75,8 @@ def dependents(tables: dict[str, DataFrame], erased: dict[str, DataFrame]) -> tu
     for t in ("claims", "rules", "corrections"):
         add(t, _citing(tables[t], EVIDENCE[t], evidence))
     traces = tables["dependency_traces"]
-    out["claims"] = derived_closure(traces, out["claims"], out["rules"])
+    out["rules"] = settled(out["rules"])
+    out["claims"] = settled(derived_closure(traces, out["claims"], out["rules"]))
     add("dependency_traces", _citing(traces, ["trigger_claim_id", "prior_trigger_claim_id", "derived_claim_id"], out["claims"]))
     add("dependency_traces", _citing(traces, ["rule_id"], out["rules"]))
     add("dependency_traces", _citing(traces, EVIDENCE["dependency_traces"], evidence))
@@ -96,6 +98,7 @@ def dependents(tables: dict[str, DataFrame], erased: dict[str, DataFrame]) -> tu
         add(table, hit.join(kept.select("id"), "id", "left_anti"))
 
     strip("entities", {"source_claims": "claims"})
+    out["entities"] = settled(out["entities"])
     strip("slot_aliases", {"source_claims": "claims"})
     add("entity_aliases", _citing(tables["entity_aliases"], ["entity_id"], out["entities"]))
     strip("entity_aliases", {"source_claims": "claims"})
@@ -143,7 +146,7 @@ def purge(tables: dict[str, DataFrame], before_ms: int) -> dict[str, DataFrame]:
     corrections: those that named a value, without selector, new value, reason and metadata. A second purge finds no
     targets and writes nothing.
     """
-    targets = forget_targets(tables["claims"], tables["corrections"], before_ms)
+    targets = settled(forget_targets(tables["claims"], tables["corrections"], before_ms))
     erased, rewrites = dependents(tables, {"claims": _ids(targets)})
     single = targets.where(~F.col("claim_kind").isin(*SET_KINDS) & F.col("slot_id").isNotNull())
     marker = single.groupBy("slot_id").agg(F.min_by(F.struct(*[F.col(c) for c in tables["claims"].columns]), "id").alias("c"), F.max("forgotten_at_ms").alias("at"), F.min("correction_id").alias("correction_id"))

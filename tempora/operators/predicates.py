@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SCOPE
@@ -77,3 +77,8 @@ def rule_bound(at: int | None) -> Column:
 def correction_active(at: int | None = None) -> Column:
     out = F.col("status") == "active"
     return out if at is None else out & (F.col("effective_at_ms") <= at)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, for plans that read it often: checkpointed where the session has a folder for that."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

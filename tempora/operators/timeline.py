@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_part, fnv1a64, stable_hash
 from .claims import apply_corrections, resolve_current, same_instant, set_members
-from .predicates import effective_start, valid_at
+from .predicates import effective_start, settled, valid_at
 from .projection import same_meaning, state_records
 from .scans import claim_versions, merge_slots
 
@@ -203,14 +203,15 @@ def project(slots: DataFrame, claims: DataFrame, corrections: DataFrame | None,
     versions = claim_versions(claims, slots, at)
     if corrections is not None:
         versions = apply_corrections(versions, corrections, at).drop("correction_ids")
+    versions = settled(versions)
     now = state_records(resolve_current(versions), write_ms)
     replaced = same_instant(versions, ["slot_id"])
     earlier = state_records(replaced.withColumn("projection_key", F.lit("")), write_ms)
-    incoming = now.unionByName(earlier).withColumn("id", scalar_state_id())
-    mine = stored.join(slots.select(F.col(slots.columns[0]).alias("slot_id")).distinct(), "slot_id", "left_semi")
+    incoming = settled(now.unionByName(earlier).withColumn("id", scalar_state_id()))
+    mine = settled(stored.join(slots.select(F.col(slots.columns[0]).alias("slot_id")).distinct(), "slot_id", "left_semi"))
     key = write_key(seed, incoming, mine.where("superseded_at_ms is null"))
     new, superseded, historical = reconcile(mine, incoming, write_ms, key, at)
-    return {"new": new, "superseded": superseded, "historical": historical}
+    return {"new": settled(new), "superseded": settled(superseded), "historical": settled(historical)}
 
 
 def retire(frontier: DataFrame, stored: DataFrame, write_ms: int, column: str = "slot_id") -> DataFrame:
