@@ -11,9 +11,13 @@ are the bucket keys.
 3. A bucket whose members are in more than one rough cluster may hide plausible pairs that the star did not try. Those
    buckets, and only those, are compared block by block on sketches; a block pair gives edges of a spanning forest at most.
    So the members of any plausible pair that shares a bucket are in one rough cluster.
-4. Each rough cluster is decided on the full sets: the intersections of all its pairs are a product of 0/1 matrices,
-   computed block by block, and a block pair gives the edges of a spanning forest of its links at most. A cluster of any
-   size is spread over as many tasks as it has block pairs, and no row per pair is ever made. Links make the components.
+4. The full sets decide. First every document is compared with one partner, the likeliest of its rough pairs: as many
+   comparisons as documents, with the partners of very many salted. What that confirms is merged; a rough cluster that it
+   connects is done.
+5. Of the other clusters, only pairs of documents that are still apart are compared: the intersections are a product of
+   0/1 matrices, computed for two blocks at a time, and a pair of blocks gives the edges of a spanning forest of its links
+   at most. A block has at most BLOCK documents and about SHINGLES shingles; a confirmed group that fills blocks of its own
+   is never compared with itself; and no row per pair is ever made. Links make the components.
 
 With 32 bands of 4 registers a pair at similarity 0.75 shares no bucket with probability 6e-6, and the estimate is cut
 five standard deviations below the threshold.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest, xxh3_128_digest
 
-from .common import components, cut, tag
+from .common import components, cut, small_batches, tag, trim
 
 WORDS = 5
 REGISTERS, BANDS, ROWS = 128, 32, 4
@@ -43,8 +47,13 @@ BASE, RATE = 1.001, 20.0
 PERCENT = 75
 #: Five standard deviations of the estimate below the threshold.
 FLOOR = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-#: Members of a bucket that one task compares with as many others.
+#: Documents that one task compares with as many others, and their shingles on average.
 BLOCK = 256
+SHINGLES = 500_000
+#: Rows of buckets of one block each that one task takes together, on average.
+PACK = 5000
+#: Documents that meet one copy of their partner's set.
+FAN = 1000
 #: Clustered documents up to which their ids are broadcast rather than the texts shuffled.
 BROADCAST_ROWS = 500_000
 NULL_ID = -(2**63)
@@ -129,6 +138,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes.append(len(s))
             regs.append(sketch(s).tobytes() if len(s) else None)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": pd.Series(keys, dtype=object), "n": np.array(sizes, dtype=np.int64), "regs": pd.Series(regs, dtype=object)})
+    trim()
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -140,26 +150,28 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for k in range(0, len(pdf), 500):
-            part = pdf.iloc[k : k + 500]
-            yield pd.DataFrame({"component": part["component"], "block": part["block"], "blocks": part["blocks"], "id": part["doc_id"], "elements": pd.Series([shingles(words(t)).view(np.int64) for t in part["text"]], dtype=object, index=part.index)})
+        for k in range(0, len(pdf), 200):
+            part = pdf.iloc[k : k + 200]
+            elements = pd.Series([shingles(words(t)).view(np.int64) for t in part["text"]], dtype=object, index=part.index)
+            yield part.rename(columns={"doc_id": "id"})[["id", "component", "partner", "salt"]].assign(elements=elements)
+    trim()
 
 
-@F.pandas_udf(T.BooleanType())
-def _plausible(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+@F.pandas_udf(T.DoubleType())
+def _likeness(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     if not len(ra):
-        return pd.Series([], dtype=bool)
+        return pd.Series([], dtype=float)
     a = np.frombuffer(b"".join(ra), dtype=np.uint16).reshape(-1, REGISTERS)
     b = np.frombuffer(b"".join(rb), dtype=np.uint16).reshape(-1, REGISTERS)
-    return pd.Series(estimate(a, b, na.to_numpy(float), nb.to_numpy(float)) >= FLOOR)
+    return pd.Series(estimate(a, b, na.to_numpy(float), nb.to_numpy(float)))
 
 
 def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches leave a link possible."""
+    """The pairs (a, b) whose sizes and sketches leave a link possible, with the estimate j."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return near.where(_plausible("ra", "rb", "na", "nb")).select("a", "b")
+    return near.select("a", "b", _likeness("ra", "rb", "na", "nb").alias("j")).where(F.col("j") >= FLOOR)
 
 
 class _Forest:
@@ -195,10 +207,12 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
         return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
     sizes = [len(x) for x in [*left, *right]]
     value = np.concatenate([*left, *right])
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.argsort(value, kind="stable")
     value, row = value[order], row[order]
-    column = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])]) if len(value) else value
+    del order
+    column = np.concatenate([[0], np.cumsum(value[1:] != value[:-1], dtype=np.int32)]) if len(value) else value
+    del value
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         lo, hi = np.searchsorted(column, [c, c + columns])
@@ -208,25 +222,19 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
     return out.astype(np.int64)
 
 
-def _links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-    """A spanning forest of the links between the sets of two blocks."""
-    a, b = ([np.asarray(x, dtype=np.int64) for x in f["elements"]] for f in (left, right))
-    if not a or not b:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    common = _common(a, b)
-    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
-    pairs = _forest(100 * common >= PERCENT * total, left["id"].to_numpy(), right["id"].to_numpy(), same)
+def _links(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links between the sets of two blocks whose documents are still apart."""
+    right = right.set_axis([c.removeprefix("r_") for c in right.columns], axis=1)
+    pairs: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        a, b = ([np.asarray(x, dtype=np.int64) for x in f["elements"]] for f in (left, right))
+        common = _common(a, b)
+        total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
+        apart = left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+        pairs = _forest(apart & (100 * common >= PERCENT * total), left["id"].to_numpy(), right["id"].to_numpy(), False)
     return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
 
-def _one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _links(pdf, pdf, True)
-
-
-def _two_blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    return _links(left, right.set_axis([c.removeprefix("r_") for c in right.columns], axis=1), key[1] == key[2])
-
-
 def _pairs_of_blocks(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """df (key, block, blocks, ...) twice, so that block i of the first meets block j >= i of the second under (key, i, j)."""
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -243,19 +251,61 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def _verify(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most BROADCAST_ROWS narrow rows, which is counted; else it is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _verify(clusters: DataFrame, rough: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) by full sets that connect what is connected within each cluster (id, component)."""
-    member = _dealt(clusters, "component").select(F.col("id").alias("doc_id"), "component", "block", "blocks")
-    if member.count() <= BROADCAST_ROWS:  # 24 bytes a row: the texts then stay where they are
-        member = F.broadcast(member)
-    texts = _ids(docs).join(member, "doc_id")
-    sets = cut(texts.mapInPandas(_sets, "component long, block int, blocks int, id long, elements array<long>"), "sets")
-    out = sets.where("blocks = 1").select("component", "id", "elements").groupBy("component").applyInPandas(_one_block, "a long, b long")
-    large = sets.where("blocks > 1")
-    if not large.isEmpty():
-        left, right = _pairs_of_blocks(large, "component")
-        out = out.union(left.groupBy("component", "i", "j").cogroup(right.groupBy("r_component", "r_i", "r_j")).applyInPandas(_two_blocks, "a long, b long"))
-    return cut(out, "links")
+    partner = rough.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct(F.col("j"), -F.col("a"))).alias("partner"))
+    fans = cut(partner.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts")), "fans")
+    member = clusters.join(partner, "id", "left").join(_small(fans), "partner", "left")
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    member = cut(member.select("id", "component", "partner", salt.alias("salt")), "members")
+    texts = _ids(docs).join(_small(member.withColumnRenamed("id", "doc_id")), "doc_id")
+    sets = cut(texts.mapInPandas(_sets, "id long, component long, partner long, salt int, elements array<long>"), "sets")
+    hubs = sets.select(F.col("id").alias("partner"), F.col("elements").alias("others")).join(_small(fans), "partner")
+    hubs = hubs.select("partner", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "others")
+    common = F.size(F.array_intersect("elements", "others"))
+    pairs = sets.where("partner is not null").join(hubs, ["partner", "salt"])
+    sure = pairs.where(100 * common >= PERCENT * (F.size("elements") + F.size("others") - common))
+    sure = cut(sure.select(F.col("partner").alias("a"), F.col("id").alias("b")), "links")
+    roots = member.join(components(sure).withColumnRenamed("component", "root"), "id", "left").select("id", "component", F.coalesce("root", "id").alias("root"))
+    roots = cut(roots, "roots")
+    apart = roots.groupBy("component").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("component")
+    open_ = cut(sets.join(_small(roots.join(apart, "component")), ["id", "component"]).select("id", "component", "root", "elements"), "apart")
+    if open_.isEmpty():
+        return sure
+    left, right = _pairs_apart(open_)
+    more = left.groupBy("pair").cogroup(right.groupBy("r_pair")).applyInPandas(_links, "a long, b long")
+    return cut(sure.union(more), "links")
+
+
+def _pairs_apart(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets (id, component, root, elements) twice, dealt so that the two blocks of each pair meet under pair and r_pair.
+
+    A root that fills a block has blocks of its own, which are not paired with each other; the small roots of a cluster
+    share blocks, which are paired with themselves as well.
+    """
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("elements")) / SHINGLES)
+    roots = sets.groupBy("component", "root").agg(weight.alias("weight"))
+    roots = roots.select("component", "root", F.when(F.col("weight") >= 1, F.col("root")).alias("own"), "weight")
+    groups = roots.groupBy(F.col("component").alias("g_component"), F.col("own").alias("g_own")).agg(F.ceil(F.sum("weight")).cast("int").alias("blocks"))
+    same = (F.col("component") == F.col("g_component")) & F.col("own").eqNullSafe(F.col("g_own"))
+    roots = cut(roots.join(groups, same).select("component", "root", "own", "blocks"), "dealt")
+    # the documents of a root with blocks of its own are spread by id, small roots are kept together
+    number = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("id"))), F.col("blocks"))
+    dealt = sets.join(_small(roots), ["component", "root"]).withColumn("block", F.struct("component", "own", number.alias("k"))).select("id", "root", "elements", F.xxhash64("block.component", "block.own", "block.k", F.col("block.own").isNull()).alias("block"))
+    blocks = roots.select("component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("k")).distinct()
+    blocks = blocks.select("component", "own", F.xxhash64("component", "own", "k", F.col("own").isNull()).alias("i"))
+    blocks = cut(blocks, "blocks")
+    other = blocks.select("component", F.col("own").alias("r_own"), F.col("i").alias("j"))
+    met = (F.col("i") <= F.col("j")) & (F.col("own").isNull() & F.col("r_own").isNull() | ~F.col("own").eqNullSafe(F.col("r_own")))
+    pairs = cut(blocks.join(other, "component").where(met).select("i", "j", F.xxhash64("i", "j").alias("pair")), "pairs")
+    left = dealt.join(pairs.select(F.col("i").alias("block"), "pair"), "block").select("pair", "id", "root", "elements")
+    right = dealt.join(pairs.select(F.col("j").alias("block"), "pair"), "block").select("pair", "id", "root", "elements")
+    return left, right.toDF(*[f"r_{c}" for c in right.columns])
 
 
 def _blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -276,17 +326,31 @@ def _blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """_blocks() of several buckets, each of one block."""
+    parts = [_blocks((0, 0, 0), g, g) for _, g in pdf.groupby("bucket", sort=False)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+
 def _residual(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     """Plausible pairs that connect the rough clusters which a bucket's members are in."""
     tagged = buckets.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("bucket")
+    size = F.count(F.lit(1)).alias("size")
+    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size, F.bit_xor(F.xxhash64("id")).alias("who")).where("lo <> hi and size > 2")
+    mixed = mixed.groupBy("size", "who", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")  # the same members are compared once
     member = tagged.join(mixed, "bucket", "left_semi").join(reps.select(F.col("rep").alias("id"), "n", "regs"), "id")
-    left, right = _pairs_of_blocks(_dealt(member, "bucket"), "bucket")
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("r_bucket", "r_i", "r_j")).applyInPandas(_blocks, "a long, b long").distinct()
+    dealt = cut(_dealt(member, "bucket"), "mixed")
+    small = dealt.where("blocks = 1")
+    packs = max(1, small.count() // PACK)
+    found = small.withColumn("pack", F.pmod(F.xxhash64("bucket"), F.lit(packs))).groupBy("pack").applyInPandas(_packed, "a long, b long")
+    left, right = _pairs_of_blocks(dealt.where("blocks > 1"), "bucket")
+    large = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("r_bucket", "r_i", "r_j")).applyInPandas(_blocks, "a long, b long")
+    return found.union(large).distinct()
 
 
 def assign(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     profile = cut(_ids(docs).mapInPandas(_profile, "doc_id long, seq binary, n long, regs binary"), "profile")
     groups = profile.where("n > 0").groupBy("seq").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     reps = cut(groups, "reps")
@@ -295,11 +359,12 @@ def assign(docs: DataFrame) -> DataFrame:
     buckets = cut(bands.join(centre, "bucket").select("bucket", "id", "low"), "buckets")
     star = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     rough = cut(_screen(star, reps), "rough")
-    comps = cut(components(rough), "clusters")
+    comps = cut(components(rough.select("a", "b")), "clusters")
     more = cut(_residual(buckets.select("bucket", "id"), comps, reps), "residual")
     if not more.isEmpty():
-        comps = cut(components(rough.union(more)), "clusters")
-    comps = components(_verify(comps, docs))
+        rough = rough.union(more.withColumn("j", F.lit(FLOOR)))
+        comps = cut(components(rough.select("a", "b")), "clusters")
+    comps = components(_verify(comps, rough, docs))
     ranked = reps.select("seq", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     low = F.coalesce("component", "rep", "doc_id")
     out = profile.select("doc_id", "seq", "n").join(ranked, "seq", "left")

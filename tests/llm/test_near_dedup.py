@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tempora.llm import near_dedup as N
 
@@ -92,8 +93,10 @@ def test_intersections_by_matrices():
     assert (N._common(sets[:20], sets[20:], columns=64) == want).all()
 
 
-def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 4)
+@pytest.mark.parametrize("block, shingles, fan, floor", [(4, 500_000, 1000, N.FLOOR), (256, 150, 3, 0.3)])
+def test_many_blocks(spark, monkeypatch, block, shingles, fan, floor):
+    for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("FAN", fan), ("FLOOR", floor)):
+        monkeypatch.setattr(N, name, value)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
     base = rng.choices(vocabulary, k=60)
