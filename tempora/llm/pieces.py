@@ -26,19 +26,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, trim
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 N_BEST = 4
 #: Chunks longer than this are solved one by one.
 LONG = 40
-#: Solved chunks that a Python worker remembers, at most twice this number.
-CACHE = 100_000
+#: Solved chunks that a Python worker remembers in a task, at most twice this number, and those that it keeps after it.
+CACHE = 120_000
+KEEP = 100_000
 BASE = np.uint64(0x100000001B3)
 PENALTY = 10.0
 
@@ -255,6 +259,12 @@ class Segmenter:
                 for k in range(0, len(group), step):
                     self._together(group[k : k + step], length)
 
+    def forget(self) -> None:
+        """Keep the chunks that were met first, which are the frequent ones, for the worker's next task."""
+        self.known, self.older = dict(islice(self.known.items(), KEEP)), {}
+        self.lists.clear()
+        trim()
+
     # texts ---------------------------------------------------------------------------------------------------------
 
     def chunks(self, text: str | None) -> list[str]:
@@ -307,7 +317,7 @@ def _segmenter(v: Vocabulary) -> Segmenter:
     return _SEGMENTERS[v]
 
 
-def _batches(texts: pd.Series, chars: int = 1_000_000) -> Iterator[list[str | None]]:
+def _batches(texts: pd.Series, chars: int = 500_000) -> Iterator[list[str | None]]:
     """The texts in runs of about so many characters, at least one text each."""
     part: list[str | None] = []
     held = 0
@@ -323,6 +333,7 @@ def _batches(texts: pd.Series, chars: int = 1_000_000) -> Iterator[list[str | No
 
 def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
     """doc_id, ids, score, and n_best: array of (score, ids) of whole segmentations, the best first."""
+    small_batches(docs.sparkSession)
     v = Vocabulary.load(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,6 +350,7 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
                     rows.append((ids, score, every))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(texts)].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": [r[0] for r in rows], "score": [r[1] for r in rows], "n_best": [r[2] for r in rows]})
                 at += len(texts)
+        s.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>, score double, n_best array<struct<score double, ids array<int>>>")
 
@@ -355,12 +367,13 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """Encode, find the n best, decode and compare, in one pass; digests instead of ids.
+def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, ids: bool = False) -> DataFrame:
+    """Encode, find the n best, decode and compare, in one pass; digests, and with `ids` the ids of the best.
 
     doc_id, n_pieces, score, ids_sha256 (of little-endian int32), n_best_scores, second_sha256 (null without a second
     segmentation), decoded_sha256, round_trip.
     """
+    small_batches(docs.sparkSession)
     v = Vocabulary.load(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -372,7 +385,7 @@ def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
                 s.solve({c for chunks in split for c in chunks})
                 rows = []
                 for text, chunks in zip(texts, split):
-                    ids, score = s.encode(chunks)
+                    best, score = s.encode(chunks)
                     every = s.alternatives(chunks, n_best)
                     second = None
                     if len(every) > 1:
@@ -385,12 +398,14 @@ def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
                             start = k + 1
                         h.update(b"".join([s.known[c][0] for c in chunks[start:]]))
                         second = h.hexdigest()
-                    back = s.decode(ids)
-                    rows.append((len(ids), score, hashlib.sha256(ids.tobytes()).hexdigest(), [a for a, _ in every], second, hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == (text or "")))
-                out = pd.DataFrame(rows, columns=["n_pieces", "score", "ids_sha256", "n_best_scores", "second_sha256", "decoded_sha256", "round_trip"]).astype({"ids_sha256": object, "second_sha256": object, "decoded_sha256": object})
+                    back = s.decode(best)
+                    digests = hashlib.sha256(best.tobytes()).hexdigest(), [a for a, _ in every], second, hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
+                    rows.append((len(best), score, *digests, back == (text or ""), best))
+                out = pd.DataFrame(rows, columns=["n_pieces", "score", "ids_sha256", "n_best_scores", "second_sha256", "decoded_sha256", "round_trip", "ids"]).astype({"ids_sha256": object, "second_sha256": object, "decoded_sha256": object})
                 out.insert(0, "doc_id", pdf["doc_id"].iloc[at : at + len(texts)].astype("Int64").to_numpy(dtype=object, na_value=None))
-                yield out
+                yield out if ids else out.drop(columns="ids")
                 at += len(texts)
+        s.forget()
 
-    schema = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best_scores array<double>, second_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best_scores array<double>, second_sha256 string, decoded_sha256 string, round_trip boolean" + (", ids array<int>" if ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

@@ -76,3 +76,16 @@ def test_round_trip_with_the_real_vocabulary(spark):
     for r in rows:
         assert r.n_pieces == len(by[r.doc_id].ids) and r.n_best_scores == [x.score for x in by[r.doc_id].n_best] and sorted(r.n_best_scores, reverse=True) == r.n_best_scores
     assert P.digest(docs.limit(0)).count() == 0
+    assert {r.doc_id: r.ids for r in P.digest(docs, ids=True).collect()} == {i: r.ids for i, r in by.items()}
+
+
+def test_runs_of_one_character_are_bounded(small):
+    for n in (7, 50, 20_000):
+        got = small.n_best("a" * n, 4)
+        ids, score, gap = small._single("a" * n)
+        assert got[0] == (score, ids) and len(got) == 1  # one segmentation: no piece is a run of that letter
+    w = "abc" * 5000
+    got = small.n_best(w, 4)
+    ids, score, gap = small._single(w)
+    assert got[0] == (score, ids) and len({x for _, x in got}) == 4 and got[1][0] == score - gap
+    assert [a for a, _ in got] == sorted((a for a, _ in got), reverse=True)
