@@ -26,7 +26,7 @@ from .common import ascii_lower, cut, join_hot, shared_dir
 MIN_CHARS = 10
 FAN_IN = 4
 #: Batches of a run of dedup(): enough for a level to be compacted.
-BATCHES = 6
+BATCHES = 5
 HASH = ["h1", "h2"]
 NULL_ID = -(2**63)
 SPACE = "\x20\t\n\x0b\x0c\r"
