@@ -87,7 +87,7 @@ def test_planted_misspellings_and_quotations(spark):
                 w.insert(rng.randrange(len(w)), b[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + b[at + 1 :])
         elif kind == 2:
             w.insert(10, rng.choice(["grelbinoud", "snorkottlo", "vrimpist"]))  # words of clean documents
-        elif kind == 3:
+        elif kind == 3 and i // 6 % 4 == 0:
             w.insert(10, f'they said "{rng.choice(bad)}" once')
         rows.append((i, " ".join(w)))
         held[i] = (kind, zlib.crc32(str(i).encode()) % 5 == 0)
