@@ -12,8 +12,9 @@ searches. These arrays are all that comes to the driver, 8 + 4 * languages bytes
 different n-grams of up to ORDER letters.
 
 A text's cross-entropy per character under each model gives the language; the difference to the runner-up, scaled by a
-temperature fitted on at most CALIBRATION training documents, gives the score. The same documents give the model's
-rejection bound, the score below which so many predictions are wrong that more than WRONG of the accepted ones would be.
+temperature fitted on every training document, gives the score. The same documents give the rejection bound: the
+smallest margin such that at most a share WRONG of the predictions with that margin or a larger one is wrong. Both come
+from sums over all different margins. identify() reads each text once for calibration and prediction together.
 
 Defined results: a null text or one without a letter is `und` with score 0; equal entropies go to the alphabetically
 first language; without training documents everything is `und`; very long texts and words are read whole; repeated rows
@@ -27,24 +28,31 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, small_batches, trim
 
 ORDER = 4
-CALIBRATION = 4000
+#: The temperatures that are tried.
+GRID = np.geomspace(0.5, 200, 60)
+#: Margins are summed in bins of 1 / BINS nats up to WIDEST, so at most BINS * WIDEST rows come to the driver.
+BINS, WIDEST = 1000, 50
 #: The share of wrong predictions among those that the rejection bound accepts.
 WRONG = 0.01
 #: Letters of a run that are counted or scored together.
 LONG = 60
+#: Letters of the words that a task remembers with their entropies, besides those of its current texts.
+CACHE = 2_000_000
 BEGIN, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
+#: guess is null without a letter; label is carried along for calibration and never read.
+SCHEMA = "doc_id long, guess string, margin double, entropy double, label string"
 
 
 def _hash(code: np.ndarray) -> np.ndarray:
@@ -85,7 +93,12 @@ class LanguageModel:
     logw: np.ndarray  # the weight that a context leaves to the shorter one
     floor: np.ndarray  # a character that no model has
     temperature: float = 1.0
-    bound: float = 0.0
+    least: float = 0.0  # the smallest margin that is accepted
+
+    @property
+    def bound(self) -> float:
+        """The score of the smallest margin that is accepted."""
+        return float(_logistic(self.least, self.temperature)) if self.least else 0.0
 
     def entropies(self, parts: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """For each part: the summed negative log probability per language, and the number of characters predicted."""
@@ -118,7 +131,7 @@ class LanguageModel:
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> Iterator[pd.DataFrame]:
         for lang, c in counts.items():
-            items = list(c.items())
+            items = [(p, n) for w, n in c.items() for p in (pieces(w) if isinstance(w, str) else [w])]
             for k in range(0, len(items), 50_000):
                 part = items[k : k + 50_000]
                 yield pd.DataFrame({"lang": pd.Series([lang] * len(part), dtype=object), "word": pd.Series([w for (w, _), _ in part], dtype=object), "skip": [s for (_, s), _ in part], "n": [n for _, n in part]})
@@ -128,9 +141,11 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"]):
             own = counts.setdefault(lang, Counter())
-            for w, n in Counter(LETTERS.findall((text or "").lower())).items():
-                for p in pieces(w):
-                    own[p] += n
+            words = LETTERS.findall((text or "").lower())
+            if max(map(len, words), default=0) > LONG:  # not held whole
+                own.update(p for w in words if len(w) > LONG for p in pieces(w))
+                words = [w for w in words if len(w) <= LONG]
+            own.update(words)
             if sum(map(len, counts.values())) > 200_000:
                 yield from flush()
     yield from flush()
@@ -230,8 +245,8 @@ def _arrays(df: DataFrame, name: str, value: str, langs: int) -> tuple[np.ndarra
     return h[order], v[order]
 
 
-def fit(docs: DataFrame) -> LanguageModel:
-    """Models of every language of the training documents (the held-out fold and null languages stay out)."""
+def _models(docs: DataFrame) -> LanguageModel:
+    """Models of every language of the training documents, not calibrated yet."""
     small_batches(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).select("lang", "text")
     words = train.mapInPandas(_word_counts, "lang string, word string, skip int, n long").groupBy("lang", "word", "skip").agg(F.sum("n").alias("n"))
@@ -241,90 +256,144 @@ def fit(docs: DataFrame) -> LanguageModel:
         nothing = np.zeros(0, dtype=np.uint64)
         return LanguageModel([], nothing, np.zeros((0, 0), dtype=np.float32), nothing, np.zeros((0, 0), dtype=np.float32), np.zeros(0))
     values, weights, unseen = probabilities(cut(counted(grams), "counted"), langs)
-    model = LanguageModel(langs, *_arrays(values, "gram", "p", len(langs)), *_arrays(weights, "context", "w", len(langs)), np.log(np.array(unseen)))
-    if len(langs) > 1:
-        right, margin = _calibration(model, docs)
-        model.temperature = _temperature(right, margin)
-        model.bound = _bound(right, margin, model.temperature)
-    return model
+    return LanguageModel(langs, *_arrays(values, "gram", "p", len(langs)), *_arrays(weights, "context", "w", len(langs)), np.log(np.array(unseen)))
 
 
-def _calibration(model: LanguageModel, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the prediction is right, and its margin, of at most CALIBRATION training documents chosen by a hash."""
-    chosen = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    # the broadcast side has at most CALIBRATION rows
-    some = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang")
-    got = some.mapInPandas(_margins(model), "right boolean, margin double").toPandas()
-    return got["right"].to_numpy(bool), got["margin"].to_numpy(float)
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and label: the language of a training document, null for any other."""
+    return docs.select("doc_id", "text", F.when(~held_out("doc_id"), F.col("lang")).alias("label"))
 
 
-def _logistic(margin: np.ndarray | float, temperature: float) -> np.ndarray | float:
-    return 1 / (1 + np.exp(-np.minimum(np.asarray(margin) * temperature, 50)))
+def fit(docs: DataFrame) -> LanguageModel:
+    """Models of every language of the training documents (the held-out fold and null languages stay out)."""
+    model = _models(docs)
+    if len(model.langs) > 1:
+        _calibrate(model, cut(_read(_labelled(docs).where("label IS NOT NULL"), model), "calibration"))
+    return model
 
 
-def _temperature(right: np.ndarray, margin: np.ndarray) -> float:
-    """The scale of logistic(margin * scale) that makes the outcomes likeliest."""
-    if not len(right):
-        return 1.0
-    grid = np.geomspace(0.5, 200, 60)
-    loss = [-np.where(right, -np.logaddexp(0, -margin * t), -np.logaddexp(0, margin * t)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+def identify(docs: DataFrame) -> DataFrame:
+    """predict() with the models fitted on the same documents, each of which is read once for both."""
+    model = _models(docs)
+    rows = cut(_read(_labelled(docs), model), "read")
+    if len(model.langs) > 1:
+        _calibrate(model, rows)
+    return _judged(rows, model)
 
 
-def _bound(right: np.ndarray, margin: np.ndarray, temperature: float, wrong: float = WRONG) -> float:
-    """The score below which predictions are rejected, so that at most a share `wrong` of the accepted ones is wrong."""
-    if not len(right):
-        return 0.0
-    order = np.argsort(-margin, kind="stable")
-    bad = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-    ok = np.flatnonzero(bad <= wrong)
-    if not len(ok):
-        return 1.0
-    if ok[-1] == len(order) - 1:
-        return 0.0
-    return float(_logistic(margin[order[ok[-1]]], temperature))
-
-
-def _score_texts(model: LanguageModel, texts: list[str | None]) -> Iterator[tuple[str | None, float, float]]:
-    """(language or None, margin to the runner-up, entropy per character) of each text."""
-    index: dict[tuple[str, int], int] = {}
-    ids = []
-    for t in texts:
-        found = LETTERS.findall(t.lower()) if isinstance(t, str) and model.langs else []
-        ids.append([index.setdefault(p, len(index)) for w in found for p in pieces(w)])
-    total, chars = model.entropies(list(index))
-    for k in ids:
-        if not k:
-            yield None, 0.0, 0.0
-            continue
-        at = np.array(k)
-        mean = total[at].sum(axis=0) / chars[at].sum()
-        best = int(np.argmin(mean))
-        rest = np.delete(mean, best)
-        yield model.langs[best], float(rest.min() - mean[best]) if len(rest) else 1.0, float(mean[best])
-
-
-def _margins(model: LanguageModel):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = list(_score_texts(model, pdf["text"].tolist()))
-            yield pd.DataFrame({"right": pd.Series([g == lang for (g, _, _), lang in zip(got, pdf["lang"])], dtype=bool), "margin": [m for _, m, _ in got]})
+def _calibrate(model: LanguageModel, rows: DataFrame) -> None:
+    """Set temperature and least margin by every prediction for a training document; a text without a letter has none."""
+    right = F.col("guess") == F.col("label")
+    marks = cut(rows.where("label IS NOT NULL AND guess IS NOT NULL").groupBy("margin").agg(F.count(F.lit(1)).alias("n"), F.count_if(~right).alias("bad")), "marks")
+    model.temperature = _temperature(marks)
+    model.least = _least(marks)
 
-    return run
 
+def _logistic(margin: float, temperature: float) -> float:
+    return 1 / (1 + np.exp(-np.minimum(margin * temperature, 50)))
 
-def predict(docs: DataFrame, model: LanguageModel, reject: float | None = None, batch: int = 1000) -> DataFrame:
-    """doc_id, lang_pred, score (the calibrated probability of lang_pred), the entropy per character in nats, and
-    rejected: the score is under the model's bound. With `reject`, lang_pred is `und` for scores below that bound."""
+
+def _temperature(marks: DataFrame) -> float:
+    """The scale of logistic(margin * scale) that makes the outcomes of rows (margin, n, bad) likeliest."""
+    margin = F.col("margin")  # never negative, so no exponential overflows
+    loss = marks.agg(*[F.sum(F.col("n") * F.log1p(F.exp(-margin * float(t))) + F.col("bad") * margin * float(t)).alias(f"t{i}") for i, t in enumerate(GRID)]).first()
+    return 1.0 if loss[0] is None else float(GRID[int(np.argmin(loss))])
+
+
+def _least(marks: DataFrame, wrong: float = WRONG) -> float:
+    """The smallest margin of rows (margin, n, bad) such that at most a share `wrong` of those from it upwards is bad."""
+    marks = marks.withColumn("bin", F.floor(F.least("margin", F.lit(float(WIDEST))) * BINS))
+    bins = sorted(marks.groupBy("bin").agg(F.sum("n"), F.sum("bad")).collect(), reverse=True)
+    above, n, bad = [], 0, 0
+    for b, more, worse in bins:
+        above.append((b, n, bad))
+        n, bad = n + more, bad + worse
+    if bad <= wrong * n:
+        return 0.0
+    # one row a bin, so the broadcast side is as small as what came to the driver
+    table = F.broadcast(marks.sparkSession.createDataFrame(above, "bin long, n_above long, bad_above long"))
+    w = Window.partitionBy("bin").orderBy(F.desc("margin"))
+    sums = marks.join(table, "bin").select("margin", (F.col("n_above") + F.sum("n").over(w)).alias("n"), (F.col("bad_above") + F.sum("bad").over(w)).alias("bad"))
+    low = sums.where(F.col("bad") <= F.lit(wrong) * F.col("n")).agg(F.min("margin")).first()[0]
+    return np.inf if low is None else low
+
+
+class _Numbers(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
+class _Scorer:
+    """Scores texts; a word that was met before is not scored again."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.letters = _Numbers(), 0
+        self.total, self.chars = np.zeros((0, len(self.model.langs))), np.zeros(0)
+
+    def _add(self) -> None:
+        """Entropies of the words that have a number but no row yet."""
+        index, begin, place = _Numbers(), [], []
+        for w in islice(self.number, len(self.chars), None):
+            begin.append(len(place))
+            place += [index[p] for p in pieces(w)]
+            self.letters += len(w)
+        if begin:
+            total, chars = self.model.entropies(list(index))
+            self.total = np.concatenate([self.total, np.add.reduceat(total[place], begin)])
+            self.chars = np.concatenate([self.chars, np.add.reduceat(chars[place], begin)])
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[str | None, float, float]]:
+        """(language or None, margin to the runner-up, entropy per character) of each text."""
+        langs = self.model.langs
+        ids = [list(map(self.number.__getitem__, LETTERS.findall(t.lower()))) if isinstance(t, str) and langs else [] for t in texts]
+        self._add()
+        for k in ids:
+            if not k:
+                yield None, 0.0, 0.0
+                continue
+            at = np.array(k)
+            mean = self.total[at].sum(axis=0) / self.chars[at].sum()
+            best = int(np.argmin(mean))
+            rest = np.delete(mean, best)
+            yield langs[best], float(rest.min() - mean[best]) if len(rest) else 1.0, float(mean[best])
+        if self.letters > CACHE:
+            self.forget()
+
+
+def _read(docs: DataFrame, model: LanguageModel, batch: int = 1000) -> DataFrame:
+    """SCHEMA of documents (doc_id, text, label)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(model)
         for pdf in batches:
             texts = pdf["text"].tolist()
             for k in range(0, len(texts), batch):
-                got = list(_score_texts(model, texts[k : k + batch]))
-                score = [0.0 if g is None else float(_logistic(m, model.temperature)) for g, m, _ in got]
-                lang = ["und" if g is None or (reject is not None and s < reject) else g for (g, _, _), s in zip(got, score)]
-                ids = pdf["doc_id"].iloc[k : k + batch].astype("Int64").to_numpy(dtype=object, na_value=None)
-                yield pd.DataFrame({"doc_id": ids, "lang_pred": pd.Series(lang, dtype=object), "score": score, "entropy": [e for *_, e in got], "rejected": [g is None or s < model.bound for (g, _, _), s in zip(got, score)]})
+                got = list(scorer.score(texts[k : k + batch]))
+                part = pdf.iloc[k : k + batch]
+                ids = part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
+                yield pd.DataFrame({"doc_id": ids, "guess": pd.Series([g for g, _, _ in got], dtype=object), "margin": [m for _, m, _ in got], "entropy": [e for *_, e in got], "label": part["label"].to_numpy(dtype=object)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInPandas(run, SCHEMA)
+
+
+def _judged(rows: DataFrame, model: LanguageModel, reject: float | None = None) -> DataFrame:
+    """What predict() returns, of rows of SCHEMA."""
+    score = F.when(F.col("guess").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.least(F.col("margin") * model.temperature, F.lit(50.0)))))
+    lang = F.coalesce("guess", F.lit("und"))
+    if reject is not None:
+        lang = F.when(score < reject, "und").otherwise(lang)
+    rejected = F.col("guess").isNull() | (F.col("margin") < F.lit(float(model.least)))
+    return rows.select("doc_id", lang.alias("lang_pred"), score.alias("score"), "entropy", rejected.alias("rejected"))
+
+
+def predict(docs: DataFrame, model: LanguageModel, reject: float | None = None, batch: int = 1000) -> DataFrame:
+    """doc_id, lang_pred, score (the calibrated probability of lang_pred), the entropy per character in nats, and
+    rejected: the margin is under the model's least. With `reject`, lang_pred is `und` for scores below that bound."""
+    return _judged(_read(docs.select("doc_id", "text", F.lit(None).cast("string").alias("label")), model, batch), model, reject)

@@ -77,8 +77,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id
 
-    docs = documents(spark, sf_dir)
-    out = language_id.predict(docs, language_id.fit(docs))
+    out = language_id.identify(documents(spark, sf_dir))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), *out.columns[1:])
 
 

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 from tempora.llm import language_id as L
 
 
@@ -106,3 +108,51 @@ def test_long_runs_are_read_whole(spark):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.predict(docs, L.fit(docs)).collect()] == ["und"]
+
+
+def test_calibration_counts_every_training_document(spark):
+    rng = random.Random(8)
+    syllables = {"xx": ["ka", "to", "mi", "ra", "se"], "yy": ["ke", "ti", "mo", "re", "sa"]}
+    rows = []
+    for i in range(9000):  # one text in twenty mixes the languages and is labelled at random
+        lang = rng.choice(["xx", "yy"])
+        own = syllables[lang] if i % 20 else syllables["xx"] + syllables["yy"]
+        rows.append((i, " ".join("".join(rng.choices(own, k=3)) for _ in range(2)), lang))
+    rows += [(9001 + i, None, "xx") for i in range(200)]  # no prediction, so neither right nor wrong
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    train = [(t, g) for i, t, g in rows if t and zlib.crc32(str(i).encode()) % 5]
+    assert len(train) > 7000
+    got = list(L._Scorer(model).score([t for t, _ in train]))
+    right, margin = np.array([p == g for (p, _, _), (_, g) in zip(got, train)]), np.array([m for _, m, _ in got])
+    grid = np.geomspace(0.5, 200, 60)
+    loss = [np.where(right, np.logaddexp(0, -margin * t), np.logaddexp(0, margin * t)).sum() for t in grid]
+    assert model.temperature == grid[int(np.argmin(loss))]
+    least = min(m for m in np.unique(margin) if (~right[margin >= m]).sum() <= L.WRONG * (margin >= m).sum())
+    assert 0 < least < margin.max() and math.isclose(model.bound, 1 / (1 + math.exp(-least * model.temperature)), rel_tol=1e-9)
+    out = {r.doc_id: r for r in L.predict(docs, model).collect()}
+    assert {r.doc_id: r for r in L.identify(docs).collect()} == out
+    kept = [out[i] for i, t, g in rows if zlib.crc32(str(i).encode()) % 5 and not out[i].rejected]
+    assert len(kept) == (margin >= least).sum()
+
+
+def test_least_margin_in_one_bin_and_with_equal_margins(spark):
+    def least(*marks):
+        return L._least(spark.createDataFrame(marks, "margin double, n long, bad long"))
+
+    # 0.5012 and 0.5011 share a bin; of equal margins all are accepted or none
+    assert least((0.9, 99, 0), (0.5012, 1, 1), (0.5011, 10, 10)) == 0.5012
+    assert least((0.9, 99, 0), (0.5012, 2, 2), (0.5011, 5, 0)) == 0.9
+    assert least((0.9, 99, 0), (0.5012, 2, 2), (0.1, 99, 0), (0.05, 5, 5)) == 0.1
+    assert least((0.9, 1, 1), (0.5, 9, 0)) == np.inf and least((500.0, 99, 0), (0.0, 1, 1)) == 0.0
+    assert L._least(spark.createDataFrame([], "margin double, n long, bad long")) == 0.0
+
+
+def test_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
+    model = L.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in corpus()] + [None, "", "1", "ka" * 500 + " mi", "über " + "schu" * 300]
+    whole = list(L._Scorer(model).score(texts))
+    for cache in (0, 500, L.CACHE):
+        monkeypatch.setattr(L, "CACHE", cache)
+        s = L._Scorer(model)
+        assert [x for t in texts for x in s.score([t])] == whole
