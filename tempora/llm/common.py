@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,18 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def trim() -> None:
-    """Give freed memory back to the system at the end of a task: a Python worker stays for the stages to come."""
+#: What operators keep in this Python worker between tasks: by the operator's name, the function that lets it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def trim(keep: str | None = None) -> None:
+    """Give freed memory back to the system at the end of a task: a Python worker stays for the stages to come. What
+    other operators than `keep` have kept for their next tasks goes too."""
     import ctypes
     import gc
 
+    for name in KEPT.keys() - {keep}:
+        KEPT.pop(name)()
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

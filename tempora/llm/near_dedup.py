@@ -166,6 +166,10 @@ def _likeness(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.
     return pd.Series(estimate(a, b, na.to_numpy(float), nb.to_numpy(float)))
 
 
+#: Else the optimizer copies it into the filter on its result, and each task has it computed twice, by two Python workers.
+_likeness = _likeness.asNondeterministic()
+
+
 def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave a link possible, with the estimate j."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))

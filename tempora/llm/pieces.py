@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trim
+from .common import KEPT, small_batches, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -263,7 +263,7 @@ class Segmenter:
         """Keep the chunks that were met first, which are the frequent ones, for the worker's next task."""
         self.known, self.older = dict(islice(self.known.items(), KEEP)), {}
         self.lists.clear()
-        trim()
+        trim("pieces")
 
     # texts ---------------------------------------------------------------------------------------------------------
 
@@ -310,7 +310,9 @@ _SEGMENTERS: dict[Vocabulary, Segmenter] = {}
 
 
 def _segmenter(v: Vocabulary) -> Segmenter:
-    """This worker's segmenter of a vocabulary; what it has solved serves the worker's next tasks too."""
+    """This worker's segmenter of a vocabulary; what it has solved serves the worker's next tasks too, until a task of
+    another operator ends there."""
+    KEPT["pieces"] = _SEGMENTERS.clear
     if v not in _SEGMENTERS:
         _SEGMENTERS.clear()
         _SEGMENTERS[v] = Segmenter(v)

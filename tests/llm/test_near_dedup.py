@@ -116,3 +116,9 @@ def test_empty(spark):
     assert N.assign(docs).count() == 0
     one = spark.createDataFrame([(None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert [r.kept for r in N.assign(one).collect()] == [True, True]
+
+
+def test_the_screen_is_computed_once(spark, capsys):
+    reps = spark.createDataFrame([], "rep long, n long, regs binary")
+    N._screen(spark.createDataFrame([], "a long, b long"), reps).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1

@@ -89,3 +89,15 @@ def test_runs_of_one_character_are_bounded(small):
     ids, score, gap = small._single(w)
     assert got[0] == (score, ids) and len({x for _, x in got}) == 4 and got[1][0] == score - gap
     assert [a for a, _ in got] == sorted((a for a, _ in got), reverse=True)
+
+
+def test_kept_chunks_go_with_a_task_of_another_operator():
+    from tempora.llm import common
+
+    v = P.Vocabulary(("<unk>", "a"), (0.0, -1.0), (2, 0))
+    s = P._segmenter(v)
+    s.solve({"a"})
+    s.forget()
+    assert P._segmenter(v) is s and s.known
+    common.trim()
+    assert not P._SEGMENTERS and P._segmenter(v) is not s
