@@ -7,7 +7,7 @@ end, so it expands complete segmentations in order of score.
 
 No piece of such a model crosses the beginning of a run of "▁" or a line end (this is checked on loading; otherwise the
 whole text is one chunk). So the lattice of a text is a chain of small lattices, each distinct chunk is solved once in a
-batch (numpy solves all of one length together), and the N best of the chain need A* only in the N - 1 chunks where
+batch (numpy solves many together, the longest first), and the N best of the chain need A* only in the N - 1 chunks where
 leaving the best path costs least.
 
 Model type: the vocabulary in the tests is of a byte-pair model, whose scores are merge ranks. Here they are scores of
@@ -40,10 +40,12 @@ SPACE = "▁"
 N_BEST = 4
 #: Chunks longer than this are solved one by one.
 LONG = 40
+#: Characters of the chunks that are solved together, with those that fill up the shorter ones.
+TOGETHER = 100_000
 #: Solved chunks that a Python worker remembers in a task, at most twice this number, and those that it keeps after it.
 CACHE = 120_000
 KEEP = 100_000
-BASE = np.uint64(0x100000001B3)
+BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 PENALTY = 10.0
 
 
@@ -76,20 +78,25 @@ class Segmenter:
         crossing = any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in self.ids)
         self.split = re.compile(".+" if crossing else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", re.S).findall
         names = list(self.ids)
-        h = np.array([self._hash(p) for p in names], dtype=np.uint64)
+        h = np.array([self._hash(p) for p in names] or [0], dtype=np.uint64)
         order = np.argsort(h)
         self.sorted = h[order]
-        self.sorted_ids = np.array([self.ids[p] for p in names], dtype=np.int32)[order]
-        self.sorted_scores = np.array([self.score[p] for p in names])[order]
+        self.sorted_ids = np.array([self.ids[p] for p in names] or [-1], dtype=np.int32)[order]
+        self.sorted_scores = np.array([self.score[p] for p in names] or [-np.inf])[order]
+        # by the highest bits of a hash: the first place in the sorted hashes, and whether others have the same bits
+        self.shift = np.uint64(64 - max(1, (16 * len(h) - 1).bit_length()))
+        prefix, first, many = np.unique(self.sorted >> self.shift, return_index=True, return_counts=True)
+        self.first, self.shared = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32), np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.first[prefix], self.shared[prefix] = first, many > 1
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
     @staticmethod
     def _hash(p: str) -> int:
-        h = len(p)
+        h = 0
         for c in p:
-            h = (h * int(BASE) + ord(c) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+            h = (h * int(BASE) + (ord(c) + 1) * int(MIX)) & (2**64 - 1)
         return h
 
     # one chunk at a time -------------------------------------------------------------------------------------------
@@ -182,82 +189,88 @@ class Segmenter:
                     gap = min(gap, alpha[-1] - (alpha[i] + s + beta[j]))
         return self._emit(w, cuts), alpha[-1], gap
 
-    # all chunks of one length --------------------------------------------------------------------------------------
-
-    def _together(self, chunks: list[str], length: int) -> None:
-        n = len(chunks)
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
-        number = {x: k for k, x in enumerate(spans)}
-        h = np.empty((len(spans), n), dtype=np.uint64)
-        for i in range(length):
-            for size in range(1, min(self.longest, length - i) + 1):
-                # a hash begins with the length, so the hash of each span is built for its own size
-                k = number[(i, i + size)]
-                h[k] = code[:, i] if size == 1 else h[number[(i, i + size - 1)]] * BASE + code[:, i + size - 1]
-        sizes = np.array([j - i for i, j in spans], dtype=np.uint64)
-        power = np.array([pow(int(BASE), int(s), 2**64) * int(s) & (2**64 - 1) for s in sizes], dtype=np.uint64)
-        h += power[:, None]
-        at = np.searchsorted(self.sorted, h.ravel()).clip(max=len(self.sorted) - 1)
-        hit = (self.sorted[at] == h.ravel()).reshape(h.shape)
-        score = np.where(hit, self.sorted_scores[at].reshape(h.shape), -np.inf)
-        piece = np.where(hit, self.sorted_ids[at].reshape(h.shape), -1)
-        for k, (i, j) in enumerate(spans):
-            if j == i + 1:
-                score[k] = np.where(hit[k], score[k], self.unknown)
-        alpha = np.zeros((length + 1, n))
-        back, last = np.zeros((length + 1, n), dtype=np.int32), np.zeros((length + 1, n), dtype=np.int32)
-        for j in range(1, length + 1):
-            best = np.full(n, -np.inf)
-            for i in range(max(0, j - self.longest), j):
-                k = number[(i, j)]
-                new = alpha[i] + score[k]
-                better = new > best
-                best = np.where(better, new, best)
-                back[j] = np.where(better, i, back[j])
-                last[j] = np.where(better, piece[k], last[j])
-            alpha[j] = best
-        on = np.zeros((length + 1, n), dtype=bool)
-        pos, rows = np.full(n, length), np.arange(n)
-        for _ in range(length):
+    # many chunks together ------------------------------------------------------------------------------------------
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted hashes, and whether each hash is there."""
+        prefix = h >> self.shift
+        at = self.first[prefix]
+        hit = self.sorted[at] == h
+        rest = np.flatnonzero(self.shared[prefix] & ~hit)
+        if len(rest):
+            at[rest] = np.searchsorted(self.sorted, h[rest]).clip(max=len(self.sorted) - 1)
+            hit[rest] = self.sorted[at[rest]] == h[rest]
+        return at, hit
+
+    def _together(self, chunks: list[str]) -> None:
+        """Solve chunks that are sorted by length, the longest first, so that those that reach a position are a prefix."""
+        n, top = len(chunks), len(chunks[0])
+        code = np.frombuffer("".join([c.ljust(top, "\0") for c in chunks]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, top)
+        code = (np.ascontiguousarray(code.T).astype(np.uint64) + np.uint64(1)) * MIX
+        lengths, rows = np.array([len(c) for c in chunks]), np.arange(n)
+        reach = np.searchsorted(-lengths, -np.arange(top + 1), side="right").tolist()
+        alpha = np.full((top + 1, n), -np.inf)
+        alpha[0] = 0
+        back, last = np.zeros((top + 1, n), dtype=np.int32), np.zeros((top + 1, n), dtype=np.int32)
+        edges = []  # (start, end, the rows that have it, their scores), by start
+        for i in range(top):
+            for j in range(i + 1, min(i + self.longest, top) + 1):
+                m = reach[j]
+                h = code[i, :m] if j == i + 1 else h[:m] * BASE + code[j - 1, :m]
+                at, hit = self._find(h)
+                if j == i + 1:
+                    r, s, piece = rows[:m], np.where(hit, self.sorted_scores[at], self.unknown), np.where(hit, self.sorted_ids[at], -1)
+                else:
+                    r = np.flatnonzero(hit)
+                    if not len(r):
+                        continue
+                    s, piece = self.sorted_scores[at[r]], self.sorted_ids[at[r]]
+                edges.append((i, j, r, s))
+                new = alpha[i][r] + s
+                better = np.flatnonzero(new > alpha[j][r])  # of equal scores the longest last piece, which came first
+                won = r[better]
+                alpha[j][won], back[j][won], last[j][won] = new[better], i, piece[better]
+        total = alpha[lengths, rows]
+        on = np.zeros((top + 1, n), dtype=bool)
+        pos = lengths.copy()
+        while pos.any():
             on[pos, rows] = True
             pos = np.where(pos > 0, back[pos, rows], 0)
         on[0] = False
-        beta = np.full((length + 1, n), -np.inf)
-        beta[length] = 0
+        beta = np.full((top + 1, n), -np.inf)
+        beta[lengths, rows] = 0
         gap = np.full(n, np.inf)
-        for j in range(length, 0, -1):
-            for i in range(max(0, j - self.longest), j):
-                s = score[number[(i, j)]] + beta[j]
-                beta[i] = np.maximum(beta[i], s)
-                other = ~(on[j] & (back[j] == i))
-                gap = np.where(other, np.minimum(gap, alpha[length] - (alpha[i] + s)), gap)
-        flat = last.T[on.T].astype(np.int32)
-        ends = np.cumsum(on.sum(axis=0)) * 4
-        data, total = flat.tobytes(), alpha[length]
+        for i, j, r, s in reversed(edges):
+            s = s + beta[j][r]
+            beta[i][r] = np.maximum(beta[i][r], s)
+            other = ~(on[j][r] & (back[j][r] == i))
+            gap[r] = np.where(other, np.minimum(gap[r], total[r] - (alpha[i][r] + s)), gap[r])
+        ends = (np.cumsum(on.sum(axis=0)) * 4).tolist()
+        data = last.T[on.T].tobytes()
         odd = set(np.flatnonzero((on & (last < 0)).any(axis=0)).tolist())
         begin = 0
-        for r, end in enumerate(ends.tolist()):
-            self.known[chunks[r]] = (data[begin:end], float(total[r]), float(gap[r])) if r not in odd else self._single(chunks[r])
+        for r, (end, best, lead) in enumerate(zip(ends, total.tolist(), gap.tolist())):
+            ids = data[begin:end] if r not in odd else self._emit(chunks[r], [0, *np.flatnonzero(on[:, r]).tolist()])
+            self.known[chunks[r]] = ids, best, lead
             begin = end
 
     def solve(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
-        by_length: dict[int, list[str]] = {}
+        new = []
         for c in chunks - self.known.keys():
             if (found := self.older.get(c)) is not None:
                 self.known[c] = found
+            elif len(c) > LONG:
+                self.known[c] = self._single(c)
             else:
-                by_length.setdefault(len(c), []).append(c)
-        for length, group in by_length.items():
-            if length > LONG or len(group) < 3:
-                for c in group:
-                    self.known[c] = self._single(c)
-            else:
-                step = max(64, 300_000 // (length * min(length, self.longest)))
-                for k in range(0, len(group), step):
-                    self._together(group[k : k + step], length)
+                new.append(c)
+        new.sort(key=len, reverse=True)
+        k = 0
+        while k < len(new):
+            step = max(64, TOGETHER // len(new[k]))
+            self._together(new[k : k + step])
+            k += step
 
     def forget(self) -> None:
         """Keep the chunks that were met first, which are the frequent ones, for the worker's next task."""
@@ -270,15 +283,17 @@ class Segmenter:
     def chunks(self, text: str | None) -> list[str]:
         return self.split(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, float]:
-        if not chunks:
-            return np.zeros(0, dtype=np.int32), 0.0
-        ids, scores, _ = zip(*map(self.known.__getitem__, chunks))
+    def found(self, chunks: list[str]) -> tuple[tuple, tuple, tuple]:
+        """The ids, scores and gaps of solved chunks."""
+        return tuple(zip(*map(self.known.__getitem__, chunks))) if chunks else ((), (), ())
+
+    def encode(self, chunks: list[str], found: tuple | None = None) -> tuple[np.ndarray, float]:
+        ids, scores, _ = found or self.found(chunks)
         return np.frombuffer(b"".join(ids), dtype=np.int32), float(sum(scores))
 
-    def alternatives(self, chunks: list[str], n: int) -> list[tuple[float, dict[int, bytes]]]:
+    def alternatives(self, chunks: list[str], n: int, found: tuple | None = None) -> list[tuple[float, dict[int, bytes]]]:
         """The n best segmentations of a text: score, and the ids of the chunks that differ from the best, by position."""
-        _, scores, gap = zip(*map(self.known.__getitem__, chunks)) if chunks else ((), (), ())
+        _, scores, gap = found or self.found(chunks)
         best, gaps = float(sum(scores)), np.array(gap, dtype=float)
         take = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 64 else self._smallest(gaps, n - 1)
         out: list[tuple[float, dict[int, bytes]]] = [(best, {})]
@@ -347,8 +362,9 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> DataFram
                 s.solve({c for chunks in split for c in chunks})
                 rows = []
                 for chunks in split:
-                    ids, score = s.encode(chunks)
-                    every = [{"score": a, "ids": np.frombuffer(b"".join(d.get(k, s.known[c][0]) for k, c in enumerate(chunks)), dtype=np.int32)} for a, d in s.alternatives(chunks, n_best)]
+                    found = s.found(chunks)
+                    ids, score = s.encode(chunks, found)
+                    every = [{"score": a, "ids": np.frombuffer(b"".join(d.get(k, x) for k, x in enumerate(found[0])), dtype=np.int32)} for a, d in s.alternatives(chunks, n_best, found)]
                     rows.append((ids, score, every))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(texts)].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": [r[0] for r in rows], "score": [r[1] for r in rows], "n_best": [r[2] for r in rows]})
                 at += len(texts)
@@ -387,18 +403,19 @@ def digest(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, ids: bool =
                 s.solve({c for chunks in split for c in chunks})
                 rows = []
                 for text, chunks in zip(texts, split):
-                    best, score = s.encode(chunks)
-                    every = s.alternatives(chunks, n_best)
+                    found = s.found(chunks)
+                    best, score = s.encode(chunks, found)
+                    every = s.alternatives(chunks, n_best, found)
                     second = None
                     if len(every) > 1:
                         d = every[1][1]
                         h = hashlib.sha256()
                         start = 0
                         for k in sorted(d):
-                            h.update(b"".join([s.known[c][0] for c in chunks[start:k]]))
+                            h.update(b"".join(found[0][start:k]))
                             h.update(d[k])
                             start = k + 1
-                        h.update(b"".join([s.known[c][0] for c in chunks[start:]]))
+                        h.update(b"".join(found[0][start:]))
                         second = h.hexdigest()
                     back = s.decode(best)
                     digests = hashlib.sha256(best.tobytes()).hexdigest(), [a for a, _ in every], second, hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()

@@ -101,3 +101,41 @@ def test_kept_chunks_go_with_a_task_of_another_operator():
     assert P._segmenter(v) is s and s.known
     common.trim()
     assert not P._SEGMENTERS and P._segmenter(v) is not s
+
+
+def test_chunks_of_all_lengths_are_solved_together(small, monkeypatch):
+    rng = random.Random(12)
+    chunks = {"".join(rng.choices("abcé▁", k=k)) for k in range(1, P.LONG + 3) for _ in range(20)}
+    s, together, groups = small, small._together, []
+    s.known.clear()
+    s.older.clear()
+    monkeypatch.setattr(s, "_together", lambda c: (groups.append(len(c)), together(c)))
+    s.solve(set(chunks))
+    assert len(groups) == 1 and groups[0] == sum(len(c) <= P.LONG for c in chunks)  # not a group for each length
+    assert all(s.known[c] == small._single(c) for c in chunks)
+    monkeypatch.setattr(P, "TOGETHER", 300)  # in many parts: the same
+    once = dict(s.known)
+    s.known.clear()
+    s.solve(set(chunks))
+    assert s.known == once and len(groups) > 10
+
+
+def test_a_text_looks_its_chunks_up_once(monkeypatch):
+    looked, found = [], P.Segmenter.found
+    monkeypatch.setattr(P.Segmenter, "found", lambda s, c: (looked.append(len(c)), found(s, c))[1])
+    s = P.Segmenter(P.Vocabulary(("<unk>", "▁a", "a", "b", "ab"), (0.0, -1.0, -2.0, -3.0, -4.0), (2, 0, 0, 0, 0)))
+    chunks = s.chunks("ab a b")
+    s.solve(set(chunks))
+    mine = s.found(chunks)
+    assert s.encode(chunks, mine)[1] == s.alternatives(chunks, 3, mine)[0][0] and looked == [3]
+
+
+def test_hashes_that_share_their_highest_bits(small):
+    s = P.Segmenter(P.Vocabulary(("<unk>", "a", "b", "ab"), (0.0, -1.0, -2.0, -3.0), (2, 0, 0, 0)))
+    s.first, s.shared, s.shift = np.zeros(2, dtype=np.int32), np.array([True, True]), np.uint64(63)
+    h = np.concatenate([s.sorted, s.sorted + np.uint64(1), np.array([0, 2**64 - 1], dtype=np.uint64)])
+    at, hit = s._find(h)
+    assert hit.tolist() == np.isin(h, s.sorted).tolist() and (s.sorted[at[hit]] == h[hit]).all()
+    nothing = P.Segmenter(P.Vocabulary((), (), ()))
+    nothing.solve({"a", "bc", "def"})
+    assert nothing.known["bc"] == nothing._single("bc")
