@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Words are runs of letters, lower-cased, between boundary marks. Every training document's words are counted per language
-in one aggregation; character n-grams up to ORDER are counted from the distinct words, weighted by their counts at the
-highest order and by the number of different left neighbours below it, as Kneser-Ney asks. Counts, discounts, totals and
-probabilities are computed in DataFrame operations over all n-grams; none is left out. A run longer than LONG letters is
-counted and scored in pieces that overlap by the context, without a mark where it is cut.
+Words are runs of letters, lower-cased, between boundary marks. A task counts the words of its training documents per
+language; character n-grams up to ORDER are counted from the task's distinct words, and only n-grams, summed over a task,
+are shuffled. They are weighted by their counts at the highest order and by the number of different left neighbours
+below it, as Kneser-Ney asks. Counts, discounts, totals and probabilities are computed in DataFrame operations over all
+n-grams; none is left out. A run longer than LONG letters is counted and scored in pieces that overlap by the context,
+without a mark where it is cut.
 
 The models of all languages share one sorted array of n-gram hashes, with a row of interpolated log probabilities per
 language, and one of context hashes with the weights left to the shorter context, so a character costs a few binary
@@ -57,7 +58,7 @@ SCHEMA = "doc_id long, guess string, margin double, entropy double, label string
 
 def _hash(code: np.ndarray) -> np.ndarray:
     """The hash of each row of code points."""
-    h = np.full(len(code), code.shape[1], dtype=np.uint64)
+    h = np.full(len(code), code.shape[1] << 32, dtype=np.uint64)  # no code point reaches these bits, so none cancels the length
     for k in range(code.shape[1]):
         h = (h ^ code[:, k].astype(np.uint64)) * MIX
         h ^= h >> np.uint64(29)
@@ -128,44 +129,84 @@ class LanguageModel:
         return total, chars
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def flush() -> Iterator[pd.DataFrame]:
-        for lang, c in counts.items():
-            items = [(p, n) for w, n in c.items() for p in (pieces(w) if isinstance(w, str) else [w])]
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of n over each."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=int)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _occurrences(parts: list[tuple[str, int, int]]) -> Iterator[tuple[list[str], list[int]]]:
+    """The n-grams of each order in parts (text, characters at its beginning that are context only, times), and how often
+    they occur. The last ORDER characters up to a place are one number; the shorter n-grams are sums over those."""
+    if not parts:
+        return
+    bits = 64 // ORDER
+    texts, skips, times = zip(*parts)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    number = np.zeros(0x110000, dtype=np.uint64)
+    number[code] = 1
+    letters = np.flatnonzero(number).astype(np.uint32)
+    if len(letters) >= 1 << bits and len(parts) > 1:  # more different characters than numbers
+        yield from _occurrences(parts[: len(parts) // 2])
+        yield from _occurrences(parts[len(parts) // 2 :])
+        return
+    number[letters] = np.arange(1, len(letters) + 1, dtype=np.uint64)  # 0: none
+    number = number[code]
+    at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = number.copy()
+    for n in range(1, ORDER):
+        key[n:] |= np.where(at[n:] >= n, number[:-n], np.uint64(0)) << np.uint64(bits * n)
+    use = at >= np.repeat(np.array(skips), sizes)
+    key, times = _summed(key[use], np.repeat(np.array(times, dtype=np.int64), sizes)[use])
+    places = np.arange(ORDER, dtype=np.uint64) * np.uint64(bits)
+    for n in range(1, ORDER + 1):
+        own = key << np.uint64(64 - bits * n) >> np.uint64(64 - bits * n)
+        there = own >> places[n - 1] > 0
+        own, sums = _summed(own[there], times[there])
+        text = letters[(own[:, None] >> places[:n][::-1] & np.uint64((1 << bits) - 1)).astype(np.int64) - 1].tobytes().decode("utf-32-le", "surrogatepass")
+        yield [text[k : k + n] for k in range(0, len(text), n)], sums.tolist()
+
+
+def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Occurrences (lang, gram, n) of the n-grams of each order in texts (lang, text), summed within a task as far as memory
+    allows."""
+    words: dict[str, Counter] = {}
+    grams: dict[str, Counter] = {}
+
+    def count() -> None:
+        for lang, c in words.items():
+            own = grams.setdefault(lang, Counter())
+            items = [(*p, n) for w, n in c.items() for p in (pieces(w) if isinstance(w, str) else [w])]
             for k in range(0, len(items), 50_000):
-                part = items[k : k + 50_000]
-                yield pd.DataFrame({"lang": pd.Series([lang] * len(part), dtype=object), "word": pd.Series([w for (w, _), _ in part], dtype=object), "skip": [s for (_, s), _ in part], "n": [n for _, n in part]})
-        counts.clear()
+                for found, n in _occurrences(items[k : k + 50_000]):
+                    own.update(dict(zip(found, n)))
+        words.clear()
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for lang, c in grams.items():
+            yield pd.DataFrame({"lang": pd.Series([lang] * len(c), dtype=object), "gram": pd.Series(list(c), dtype=object), "n": np.array(list(c.values()), dtype=np.int64)})
+        grams.clear()
 
-    counts: dict[str, Counter] = {}
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"]):
-            own = counts.setdefault(lang, Counter())
-            words = LETTERS.findall((text or "").lower())
-            if max(map(len, words), default=0) > LONG:  # not held whole
-                own.update(p for w in words if len(w) > LONG for p in pieces(w))
-                words = [w for w in words if len(w) <= LONG]
-            own.update(words)
-            if sum(map(len, counts.values())) > 200_000:
-                yield from flush()
+            own = words.setdefault(lang, Counter())
+            found = LETTERS.findall((text or "").lower())
+            if max(map(len, found), default=0) > LONG:  # not held whole
+                own.update(p for w in found if len(w) > LONG for p in pieces(w))
+                found = [w for w in found if len(w) <= LONG]
+            own.update(found)
+            if sum(map(len, words.values())) > 200_000:
+                count()
+                if sum(map(len, grams.values())) > 200_000:
+                    yield from flush()
+    count()
     yield from flush()
     trim()
 
 
-def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of the n-grams of each order, as text; summed within some thousand words."""
-    for pdf in batches:
-        for lang, group in pdf.groupby("lang", sort=False):
-            for k in range(0, len(group), 20_000):
-                counts: Counter = Counter()
-                part = group.iloc[k : k + 20_000]
-                for w, skip, m in zip(part["word"], part["skip"].tolist(), part["n"].tolist()):
-                    for j in range(skip, len(w)):
-                        for n in range(1, min(ORDER, j + 1) + 1):
-                            counts[w[j - n + 1 : j + 1]] += m
-                yield pd.DataFrame({"lang": pd.Series([lang] * len(counts), dtype=object), "gram": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
-
-
 def _per_language(langs: list[str], value: Column) -> Column:
     """An array with the value of each language's row, null where it has none."""
     return F.array(*[F.max(F.when(F.col("lang") == g, value)) for g in langs])
@@ -249,8 +290,7 @@ def _models(docs: DataFrame) -> LanguageModel:
     """Models of every language of the training documents, not calibrated yet."""
     small_batches(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).select("lang", "text")
-    words = train.mapInPandas(_word_counts, "lang string, word string, skip int, n long").groupBy("lang", "word", "skip").agg(F.sum("n").alias("n"))
-    grams = cut(words.mapInPandas(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    grams = cut(train.mapInPandas(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
         nothing = np.zeros(0, dtype=np.uint64)
@@ -339,12 +379,16 @@ class _Scorer:
 
     def _add(self) -> None:
         """Entropies of the words that have a number but no row yet."""
-        index, begin, place = _Numbers(), [], []
-        for w in islice(self.number, len(self.chars), None):
-            begin.append(len(place))
-            place += [index[p] for p in pieces(w)]
-            self.letters += len(w)
-        if begin:
+        new = list(islice(self.number, len(self.chars), None))
+        self.letters += sum(map(len, new))
+        if new and max(map(len, new)) <= LONG:  # a part each
+            total, chars = self.model.entropies([(f"{BEGIN}{w}{END}", 1) for w in new])
+            self.total, self.chars = np.concatenate([self.total, total]), np.concatenate([self.chars, chars])
+        elif new:
+            index, begin, place = _Numbers(), [], []
+            for w in new:
+                begin.append(len(place))
+                place += [index[p] for p in pieces(w)]
             total, chars = self.model.entropies(list(index))
             self.total = np.concatenate([self.total, np.add.reduceat(total[place], begin)])
             self.chars = np.concatenate([self.chars, np.add.reduceat(chars[place], begin)])

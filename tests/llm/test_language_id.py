@@ -156,3 +156,38 @@ def test_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
         monkeypatch.setattr(L, "CACHE", cache)
         s = L._Scorer(model)
         assert [x for t in texts for x in s.score([t])] == whole
+
+
+def test_a_task_counts_and_shuffles_grams_only(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdeé𐐨", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(60)]
+    texts += [None, "", "12 !", "ABC abc ab", "abcdef" * 50, "".join(map(chr, range(0x4E00, 0x9FA0)))]
+    rows = [(("xx", "yy")[i % 2], t) for i, t in enumerate(texts)] + [("zz", None)]
+    want = defaultdict(int)
+    for lang, text in rows:
+        for w in L.LETTERS.findall((text or "").lower()):
+            w = L.BEGIN + w + L.END
+            for j in range(1, len(w)):
+                for n in range(1, min(L.ORDER, j + 1) + 1):
+                    want[lang, w[j - n + 1 : j + 1]] += 1
+
+    def got():
+        parts = [pd.DataFrame(rows[k : k + 7], columns=["lang", "text"]) for k in range(0, len(rows), 7)]
+        return pd.concat(L._gram_counts(iter(parts)))
+
+    out = got()
+    assert {(r.lang, r.gram): r.n for r in out.itertuples()} == want and len(out) == len(want)  # a row for each n-gram, none for words
+    # more different characters than fit into one number
+    chars = [chr(c) for c in range(0x4E00, 0x2FA1D) if L.LETTERS.fullmatch(chr(c)) and chr(c).lower() == chr(c)]
+    assert len(chars) > 1 << 16
+    rows, want = [("xx", " ".join(chars))], {("xx", x): 1 for c in chars for x in (c, L.BEGIN + c, c + L.END, L.BEGIN + c + L.END)} | {("xx", L.END): len(chars)}
+    assert {(r.lang, r.gram): r.n for r in got().itertuples()} == want
+
+
+def test_no_two_grams_share_a_hash():
+    letters = [L.BEGIN, L.END, *map(chr, range(0x60, 0x100)), "中", "𐐨"]
+    grams = [[a for a in letters], [a + b for a in letters for b in letters], [L.BEGIN + a + b for a in letters for b in letters]]
+    hashes = np.concatenate([L._hash(L._codes(g, k + 1)) for k, g in enumerate(grams)])
+    assert len(np.unique(hashes)) == sum(map(len, grams))  # before, BEGIN + "b" had that of "c"
