@@ -241,6 +241,8 @@ def _assemble(parts: list[tuple[int, int | None, bytes]], whole: bool) -> tuple[
         return b"", "the last segment is missing"
     if total is not None and total != len(block):
         return b"", "the total length differs"
+    if not block.startswith(b"HTTP/"):  # a foreign record without an HTTP header is all payload
+        return block, None
     head, _, body = block.partition(b"\r\n\r\n")
     try:
         return (dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body), None

@@ -69,3 +69,9 @@ def test_malformed_archives(spark, tmp_path):
     rows = W.read(spark, str(tmp_path / "a")).collect()
     assert sum(r.error is None for r in rows) >= 3 and sum(r.error is not None for r in rows) >= 3
     assert any(r.page_id is None and r.error is None and r.payload_bytes == 3 for r in rows)
+
+
+def test_a_block_without_an_http_header_is_all_payload():
+    assert W._assemble([(1, None, b"abc")], True) == (b"abc", None)
+    assert W._assemble([(1, None, b"a\r\n\r\nb")], True) == (b"a\r\n\r\nb", None)
+    assert W._assemble([(1, None, b"HTTP/1.1 200 OK\r\n\r\nabc")], True) == (b"abc", None)
