@@ -192,9 +192,10 @@ s AS (SELECT p_size // 4 AS g, p_size, min(lpad(CAST(p_partkey AS VARCHAR), 6, '
 SELECT CAST(f.g AS VARCHAR) AS request, closed AS fail_closed, CAST((SELECT count(*) FROM s WHERE s.g = f.g) AS INTEGER) AS required, CAST((SELECT count(*) FROM c WHERE NOT refuses AND p_size // 4 = f.g) AS INTEGER) AS n_proof, CAST((SELECT count(*) FROM c WHERE refuses AND p_size // 4 = f.g) AS INTEGER) AS n_withheld FROM f"""
 )
 def proof_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Span ids are padded to the width of any key: a shorter lpad cuts longer keys, and different spans become one."""
     p = T.read(spark, d, "part").where("p_size <= 12")
     n = F.col("p_size")
-    r = p.groupBy((n / 4).cast("int").cast("string").alias("request"), F.concat(F.lit("slot_"), n).alias("slot_id"), F.when(n % 2 == 0, "unsupported").otherwise("supported").alias("support_state")).agg(F.array_sort(F.collect_set(F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).alias("source_span_ids")).withColumn("view", F.lit("current"))
+    r = p.groupBy((n / 4).cast("int").cast("string").alias("request"), F.concat(F.lit("slot_"), n).alias("slot_id"), F.when(n % 2 == 0, "unsupported").otherwise("supported").alias("support_state")).agg(F.array_sort(F.collect_set(F.lpad(F.col("p_partkey").cast("string"), 20, "0"))).alias("source_span_ids")).withColumn("view", F.lit("current"))
     return X.proof_targets(r).select("request", "fail_closed", F.col("required").cast("int").alias("required"), F.size("proof_span_ids").alias("n_proof"), F.size("withheld").alias("n_withheld"))
 
 
