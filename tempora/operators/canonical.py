@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical_part, selector_match, slot_id, stable_hash
-from .claims import SET_KINDS
+from ..functions.scalars import canonical_part, slot_id, stable_hash
+from .claims import SET_KINDS, selector_join
 from .predicates import valid_at
 
 NONE = "cast(array() as array<string>)"
@@ -186,9 +186,8 @@ def resolve_targets(corrections: DataFrame, claims: DataFrame, slots: DataFrame)
     c = corrections.where((F.col("target_type") == "claim") & F.col("operation").isin("retract", "replace", "tombstone", "forget", "mark_stale"))
     k = claims.select(F.col("id").alias("_claim"), "slot_id", "claim_text", canonical_part(F.coalesce("subject", F.lit(""))).alias("_sk"), canonical_part(F.coalesce("predicate", F.lit(""))).alias("_pk"), "object_value").where("slot_id is not null")
     named = c.select("id", F.explode("target_ids").alias("_claim")).join(k, "_claim").select("id", F.col("slot_id").alias("s"))
-    # selectors are few and match by substring: a nested loop over the corrections that have one
-    with_selector = c.where((F.size(F.coalesce("target_ids", F.expr(NONE))) == 0) & (F.trim(F.coalesce("target_selector", F.lit(""))) != "")).select("id", "target_selector")
-    chosen = k.join(with_selector, selector_match(F.col("target_selector"), F.col("claim_text"), F.col("_sk"), F.col("_pk"), F.col("object_value"))).select("id", F.col("slot_id").alias("s"))
+    with_selector = c.where(F.size(F.coalesce("target_ids", F.expr(NONE))) == 0).select("id", "target_selector")
+    chosen = selector_join(k, with_selector, "target_selector", "claim_text", "_sk", "_pk", "object_value").select("id", F.col("slot_id").alias("s"))
     keyed = slots.select(F.col("slot_key").alias("s"), F.col("subject_key").alias("target_subject_key"), F.col("predicate_key").alias("target_predicate_key"))
     structured = c.select("id", "target_subject_key", "target_predicate_key").join(keyed, ["target_subject_key", "target_predicate_key"]).select("id", "s")
     given = c.where("target_slot_id is not null").select("id", F.col("target_slot_id").alias("s"))

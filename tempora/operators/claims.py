@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SCOPE, SUPPORT_PRIORITY, canonical_part, selector_match, support_priority
+from ..functions.scalars import SCOPE, SUPPORT_PRIORITY, canonical_part, support_priority
 from .predicates import correction_active, effective_start, valid_at
 
 SET_KINDS = ("relationship", "event", "preference")
@@ -75,6 +75,24 @@ def resolve_fold(claims: DataFrame) -> DataFrame:
     return claims.withColumn("projection_key", projection_key()).groupBy("projection_key", *_scope(claims)).applyInPandas(fold, schema)
 
 
+def selector_join(rows: DataFrame, selectors: DataFrame, selector: str, *texts: str) -> DataFrame:
+    """Pairs of a row and a selector that one of its texts holds: the join on selector_match. The selectors are a query
+    set and are broadcast; the two sides share no column name.
+
+    A text that holds a selector has every word between two spaces of it as a word of its own. So a selector waits at one
+    such word, its longest, and a row, lower-cased once, meets only the selectors that wait at a word it has. Selectors
+    without such a word wait at the empty one, which every row has."""
+    s = selectors.withColumn("_s", F.lower(F.trim(selector))).where("_s <> ''")
+    inner = F.expr("filter(slice(split(_s, ' '), 2, greatest(size(split(_s, ' ')) - 2, 0)), w -> w <> '')")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    s = s.withColumn("_w", F.coalesce(longest, F.lit("")))
+    low = [f"_t{i}" for i in range(len(texts))]
+    r = rows.withColumns({t: F.lower(F.coalesce(text, F.lit(""))) for t, text in zip(low, texts)})
+    words = r.withColumn("_w", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[F.split(t, " ") for t in low]))))
+    holds = reduce(lambda a, b: a | b, [F.col(t).contains(F.col("_s")) for t in low])
+    return words.join(F.broadcast(s), "_w").where(holds).select(*rows.columns, *selectors.columns)
+
+
 def apply_corrections(claims: DataFrame, corrections: DataFrame, at: int | None = None) -> DataFrame:
     """Claims with the last effect of the corrections that target them: active, or the status that the effect gives.
 
@@ -87,7 +105,8 @@ def apply_corrections(claims: DataFrame, corrections: DataFrame, at: int | None
     cols = [F.col("k.id").alias("claim_id"), F.col("c.id").alias("correction_id"), "operation", "effective_at_ms", "cseq"]
     by_id = cor.withColumn("target", F.explode("target_ids")).alias("c").join(key, F.col("c.target") == F.col("k.id")).select(*cols)
     slot = cor.where(F.col("target_match") == "canonical_slot").alias("c").join(key, (F.col("c.target_subject_key") == F.col("k.sk")) & (F.col("c.target_predicate_key") == F.col("k.pk")) & (F.col("k.start") <= F.col("c.effective_at_ms"))).select(*cols)
-    select = cor.where(F.trim(F.coalesce("target_selector", F.lit(""))) != "").alias("c").join(key, selector_match(F.col("c.target_selector"), F.col("k.claim_text"), F.col("k.sk"), F.col("k.pk"), F.col("k.object_value"))).select(*cols)
+    selectors = cor.select(F.col("id").alias("correction_id"), "operation", "effective_at_ms", "cseq", "target_selector")
+    select = selector_join(key.select(F.col("id").alias("claim_id"), "sk", "pk", "claim_text", "object_value"), selectors, "target_selector", "claim_text", "sk", "pk", "object_value").select("claim_id", "correction_id", "operation", "effective_at_ms", "cseq")
     effect = by_id.union(slot).union(select).groupBy("claim_id").agg(F.max_by("operation", F.struct("effective_at_ms", F.coalesce("cseq", F.lit(-1)), "correction_id")).alias("operation"), F.array_sort(F.collect_set("correction_id")).alias("correction_ids"))
     status = F.element_at(F.create_map(*[F.lit(x) for x in ("retract", "retracted", "replace", "superseded", "tombstone", "tombstoned", "forget", "redacted", "mark_stale", "expired", "restore", "active")]), F.col("operation"))
     out = claims.join(effect, claims["id"] == effect["claim_id"], "left")

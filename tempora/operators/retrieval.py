@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WORD_CHARS, cosine_distance, lexical_terms, neighbor_score, rrf_share
-from .claims import EXCLUDES, IGNORED
+from .claims import EXCLUDES, IGNORED, selector_join
 from .predicates import correction_active, span_active
 
 K1, B = 1.2, 0.75
@@ -118,12 +118,11 @@ def neighbors(hits: DataFrame, spans: DataFrame, before: int, after: int) -> Dat
 
 def span_exclusions(hits: DataFrame, corrections: DataFrame, at: int | None = None, text: str = "text") -> DataFrame:
     """Hits that no correction excludes: the last effect by (effective time, id) decides; restore clears it."""
-    from ..functions.scalars import selector_match
-
     cor = corrections.where(correction_active(at) & (F.col("target_type") == "span") & ~F.col("operation").isin(*IGNORED)).select("id", "operation", "effective_at_ms", "target_ids", "target_selector").alias("c")
     h = hits.select("id", text).alias("h")
     named = cor.withColumn("target", F.explode("target_ids")).alias("c").join(h, F.col("c.target") == F.col("h.id")).select(F.col("h.id").alias("span"), "c.operation", "c.effective_at_ms", F.col("c.id").alias("cid"))
-    chosen = h.join(cor.where(F.trim(F.coalesce("target_selector", F.lit(""))) != ""), selector_match(F.col("c.target_selector"), F.col(f"h.{text}"))).select(F.col("h.id").alias("span"), "c.operation", "c.effective_at_ms", F.col("c.id").alias("cid"))
+    selectors = cor.select("operation", "effective_at_ms", F.col("id").alias("cid"), "target_selector")
+    chosen = selector_join(hits.select(F.col("id").alias("span"), text), selectors, "target_selector", text).select("span", "operation", "effective_at_ms", "cid")
     last = named.union(chosen).groupBy("span").agg(F.max_by("operation", F.struct("effective_at_ms", "cid")).alias("operation"))
     return hits.join(last.where(F.col("operation").isin(*EXCLUDES)), hits["id"] == F.col("span"), "left_anti")
 

@@ -163,11 +163,10 @@ def span_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark, documents WHERE contains(lower(documents.text), lower(trim(left(benchmark.text, 40)))) GROUP BY 1")
 def selector_theta_join(spark: SparkSession, d: str) -> DataFrame:
-    """Selectors against all texts. The selector side is a query set; it is broadcast after its rows are counted."""
+    """Selectors against all texts."""
     b = T.read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("selector"))
     docs = T.read(spark, d, "documents").select(F.col("text").alias("body"))
-    side = F.broadcast(b) if b.count() <= 100_000 else b
-    return docs.join(side, S.selector_match(F.col("selector"), F.col("body"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return C.selector_join(docs, b, "selector", "body").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # rules ---------------------------------------------------------------------------------------------------------------
