@@ -30,3 +30,17 @@ def test_selectors_meet_only_texts_with_a_word_of_theirs(spark, tmp_path):
     out = registry.QUERIES["selector_theta_join"](spark, str(tmp_path))
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.item_id: r.n_docs for r in out.collect()}[0] == 3  # twice as it is, once within longer words
+
+
+def test_same_instant_deals_rows_by_their_number(spark, monkeypatch):
+    rows = [(k, 1, 1, None, seq, "ab"[(k * seq) % 3 == 0]) for k in range(300) for seq in range(4)]
+    df = spark.createDataFrame(rows, "slot_id long, observed_at_ms long, valid_from_ms long, valid_to_ms long, source_sequence_no long, object_value string")
+    value = {(r[0], r[4]): r[5] for r in rows}
+    want = sorted((k, seq) for k, seq in value if value[k, seq] != value[k, 3])
+    few = C.same_instant(df, ["slot_id"])
+    monkeypatch.setattr(C, "ROWS_A_TASK", 100)
+    many = C.same_instant(df, ["slot_id"])
+    assert str(many._jdf.queryExecution().executedPlan()).count("Exchange") == 1  # the window takes the rows as dealt
+    assert many.rdd.getNumPartitions() == 12
+    for out in (few, many):
+        assert sorted((r.slot_id, r.source_sequence_no) for r in out.collect()) == want and want
